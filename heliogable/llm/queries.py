@@ -1,0 +1,43 @@
+"""The registered queries of this subpackage, with production parameters over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heliogable.llm.jaccard import jaccard_join
+from heliogable.llm.mixing import mix
+from heliogable.llm.quality import quality
+from heliogable.llm.substring import substring_dedup
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = quality(_table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = mix(_table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
+}
