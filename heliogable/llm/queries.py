@@ -11,12 +11,23 @@ from heliogable.llm.jaccard import jaccard_join
 from heliogable.llm.mixing import mix
 from heliogable.llm.quality import quality
 from heliogable.llm.substring import substring_dedup
+from heliogable.llm.tokenfile import read_tokens, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")), digest=True)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality(_table(spark, sf_dir, "documents"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,6 +47,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_binary": op2_token_binary,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op9_mixing": op9_mixing,
