@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heliogable.llm.jaccard import jaccard_join
 from heliogable.llm.mixing import mix
+from heliogable.llm.pieces import encode_pieces
 from heliogable.llm.quality import quality
 from heliogable.llm.substring import substring_dedup
 from heliogable.llm.tokenfile import read_tokens, write_tokens
@@ -37,6 +38,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mix(_table(spark, sf_dir, "documents"))
     return df.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_binary": op2_token_binary,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
