@@ -14,6 +14,7 @@ from heliogable.llm.quality import quality
 from heliogable.llm.substring import substring_dedup
 from heliogable.llm.tokenfile import read_tokens, write_tokens
 from heliogable.llm.toxicity import fit, held_out, score
+from heliogable.llm.warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_warc(write_warc(_table(spark, sf_dir, "pages")), with_payload=False)
+    return df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
