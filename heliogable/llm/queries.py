@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliogable.llm.html import extract_html
 from heliogable.llm.jaccard import jaccard_join
 from heliogable.llm.mixing import mix
+from heliogable.llm.neighbours import nearest
 from heliogable.llm.pieces import encode_pieces
 from heliogable.llm.quality import quality
 from heliogable.llm.substring import substring_dedup
@@ -27,6 +29,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(_table(spark, sf_dir, "pages"))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")), digest=True)
 
@@ -55,6 +61,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mix(_table(spark, sf_dir, "documents"))
     return df.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -65,12 +75,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_token_binary": op2_token_binary,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
