@@ -30,7 +30,7 @@ from heliogable.llm import store, words
 from heliogable.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, TOLERANCE = 5, 0.8, 36, 5, 1e-6
-UNIT, UNIT_WORDS = 1000, 1_000_000
+UNIT, UNIT_WORDS = 600, 1_000_000
 _U = np.uint64
 _FACTORS = words.odd(21, SHINGLE)
 _SHIFT, _SCALE = np.random.default_rng(22).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32), words.odd(23, BANDS * ROWS).astype(np.uint32) | np.uint32(1)
@@ -239,7 +239,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = classes.select("rep_id", "weight", F.posexplode("bands").alias("band", "key"))
     met = entries.groupBy("band", "key").agg(F.min("rep_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     met = store.keep(entries.join(met, ["band", "key"]), f"{place}/met")
-    coarse = components(met.select(F.col("rep_id").alias("a"), F.col("first").alias("b")).filter("a != b"), f"{place}/coarse")
+    # A class hangs on the smallest of its bands' first classes, and these hang on that one: what many classes share is one edge.
+    firsts = met.groupBy("rep_id").agg(F.collect_set("first").alias("firsts")).withColumn("b", F.array_min("firsts"))
+    edges = firsts.select(F.col("rep_id").alias("a"), "b").union(firsts.select("firsts", "b").distinct().select(F.explode("firsts").alias("a"), "b").distinct())
+    coarse = components(edges.filter("a != b"), f"{place}/coarse")
 
     # How many blocks a group needs, and whether its bands are the smaller work.
     member = coarse.join(classes.select(F.col("rep_id").alias("node"), "weight"), "node")
