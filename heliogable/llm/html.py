@@ -30,6 +30,7 @@ ENDS_P = BLOCKS - {"body", "html", "option", "optgroup", "legend"}
 LISTS = frozenset("ul ol dir menu".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset(("td", "th"))
+PARTS = SECTIONS | CELLS | {"tr", "caption", "colgroup", "col"}
 #: What an implied end doesn't reach beyond.
 SCOPE = frozenset("html table td th caption template button object marquee applet".split())
 #: Elements that a start tag ends, and what keeps it from reaching further up.
@@ -134,11 +135,10 @@ class Builder:
             self._end(frozenset(("p",)), SCOPE)
         if tag in ENDS:
             self._end(*ENDS[tag])
-        if tag == "table":
-            pass
-        elif tag in CELLS and self.open[-1].tag != "tr":
-            if self._table() is not None:
-                self.start("tr", {})
+        if tag in PARTS and self._table() is None:
+            return  # parts of tables mean nothing outside one
+        if tag in CELLS and self.open[-1].tag != "tr":
+            self.start("tr", {})
         elif tag == "tr" and self.open[-1].tag == "table":
             self._push("tbody", {})
         self._push(tag, attributes)

@@ -40,11 +40,12 @@ LEET = str.maketrans("013457@$!|€", "oieastasile")
 
 FEATURES = ("log_words", "fixed_rate", "fixed_hits", "learned_rate", "learned_hits", "learned_weight", "heaviest", "near_second", "second_rate", "capitals", "caps_words", "exclaims", "punctuation", "symbols", "obfuscated", "digits")
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»¿¡…“”„’‘"
+_LEAD = _EDGE.replace("$", "").replace("@", "")
 
 
 def plain(word: str) -> str:
     """A word in lower case, without marks around it, and with letters for what stands for them inside."""
-    word = unicodedata.normalize("NFKC", word).lower().strip(_EDGE)
+    word = unicodedata.normalize("NFKC", word).lower().rstrip(_EDGE).lstrip(_LEAD)
     if not word.isalpha():
         if any(c.isalpha() for c in word):
             word = word.translate(LEET)
