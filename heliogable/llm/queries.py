@@ -11,6 +11,7 @@ from heliogable.llm.html import extract_html
 from heliogable.llm.jaccard import jaccard_join
 from heliogable.llm.mixing import mix
 from heliogable.llm.neighbours import nearest
+from heliogable.llm.oracles import ORACLES as ORACLES
 from heliogable.llm.pieces import encode_pieces
 from heliogable.llm.quality import quality
 from heliogable.llm.substring import substring_dedup
@@ -86,6 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
-
-#: DuckDB SQL for what SQL can say; the others are held against brute force in tests.
-ORACLES: dict[str, str] = {}
