@@ -1,0 +1 @@
+"""Requests, cases, catalogs, reports and grids."""

@@ -1,0 +1 @@
+"""Reserved: the application that this library re-expresses has no streams."""
