@@ -180,6 +180,17 @@ def obstructions(planes: DataFrame, labels: DataFrame) -> DataFrame:
     return df.select("scene_id", "face_id", kind.alias("obstruction_type"), "area", "aspect", (c("height") - c("elevation")).alias("height"), (c("confidence") * 0.7).alias("confidence"))
 
 
+def lower_roofs(planes: DataFrame, labels: DataFrame, edges: DataFrame, below: float = 1.5) -> DataFrame:
+    """Planes more than 1.5 m under the largest of their component (ties: the smaller id), but for those that share a ridge or hip with it."""
+    c = F.col
+    df = planes.join(labels.withColumnRenamed("node", "face_id"), ["scene_id", "face_id"])
+    top = df.groupBy("scene_id", "label").agg(F.max_by(F.struct("face_id", "height"), F.struct("area", -c("face_id"))).alias("top")).select("scene_id", "label", c("top.face_id").alias("largest"), c("top.height").alias("level"))
+    high = edges.filter(c("edge_type").isin("ridge", "hip"))
+    partners = high.select("scene_id", c("p").alias("face_id"), c("q").alias("largest")).union(high.select("scene_id", c("q"), c("p")))
+    low = df.join(top, ["scene_id", "label"]).filter((c("face_id") != c("largest")) & (F.round(c("level") - c("height"), 9) > below))
+    return low.join(partners, ["scene_id", "face_id", "largest"], "left_anti").select("scene_id", "face_id", "largest")
+
+
 def plane_scores(planes: DataFrame, edges: DataFrame) -> DataFrame:
     """Planes with score: neighbours add, small and flat ones lose."""
     c = F.col

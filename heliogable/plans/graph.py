@@ -82,6 +82,14 @@ def connected_components(spark, sf_dir):
     return _labels(spark, sf_dir)[1]
 
 
+@query("lower_roof_labels", f"""{COMPONENTS}, {EDGES.replace(ADJACENT + ",", "").replace(FULL + ", ", FULL + ",")}, cp AS (SELECT g.scene_id, g.face_id, label, area, height FROM g JOIN labels ON labels.scene_id = g.scene_id AND labels.node = g.face_id),
+  tp AS (SELECT scene_id, label, face_id AS largest, height AS level FROM cp QUALIFY row_number() OVER (PARTITION BY scene_id, label ORDER BY area DESC, face_id) = 1)
+  SELECT cp.scene_id, cp.face_id, largest FROM cp JOIN tp USING (scene_id, label) WHERE cp.face_id <> largest AND round(level - cp.height, 9) > 1.5 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.scene_id = cp.scene_id AND edge_type IN ('ridge', 'hip') AND ((e.p = cp.face_id AND e.q = largest) OR (e.q = cp.face_id AND e.p = largest)))""", "faces")
+def lower_roof_labels(spark, sf_dir):
+    faces, labels = _labels(spark, sf_dir)
+    return op.lower_roofs(faces, labels, _edges(spark, sf_dir)[1])
+
+
 @query("obstructions", f"""{COMPONENTS}, {FULL}, one AS (SELECT scene_id, label FROM labels GROUP BY 1, 2 HAVING count(*) = 1), o AS (SELECT g.*, greatest(width, depth) / greatest(least(width, depth), 0.01) AS aspect FROM g JOIN one ON g.scene_id = one.scene_id AND g.face_id = one.label WHERE area <= 14)
   SELECT scene_id, face_id, CASE WHEN area - 10 < 0.3 THEN 'pipe' WHEN area - 10 < 1 AND aspect < 2 THEN 'vent' WHEN aspect < 2 THEN 'chimney' WHEN is_flat AND area - 10 > 1 THEN 'skylight' ELSE 'unknown' END AS obstruction_type, round(aspect, 5) AS aspect, round(confidence * 0.7, 5) AS confidence FROM o""", "faces")
 def obstructions(spark, sf_dir):

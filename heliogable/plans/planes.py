@@ -98,6 +98,23 @@ def label_vote_grid(spark, sf_dir):
     return op.vote_grid(_labels(spark, sf_dir))
 
 
+ROUNDS = ", ".join(
+    f"""v{k} AS (SELECT e.scene_id, e.row, e.col, n.label, count(*) AS n, min((n.row - e.row + 1) * 3 + n.col - e.col + 1) AS pos, n.label IN ('roof', 'ridge_dot', 'near_ridge') AS rf FROM g{k} e JOIN g{k} n ON e.label IS NULL AND n.label IS NOT NULL AND n.scene_id = e.scene_id AND abs(n.row - e.row) <= 1 AND abs(n.col - e.col) <= 1 GROUP BY ALL),
+  w{k} AS (SELECT *, bool_or(rf) OVER c AND bool_or(label = 'tree') OVER c AS mixed FROM v{k} WINDOW c AS (PARTITION BY scene_id, row, col)), x{k} AS (SELECT * FROM w{k} WHERE NOT (mixed AND NOT rf) QUALIFY row_number() OVER (PARTITION BY scene_id, row, col ORDER BY n DESC, pos) = 1),
+  g{k + 1} AS (SELECT g.scene_id, g.row, g.col, coalesce(g.label, x{k}.label) AS label FROM g{k} g LEFT JOIN x{k} USING (scene_id, row, col))"""
+    for k in range(3)
+)
+
+
+@query("grid_fill_rounds", f"""WITH {ALL}, c AS (SELECT scene_id, floor(z)::BIGINT AS row, floor(x)::BIGINT AS col, label, count(*) AS n, min(pid) AS f FROM labels WHERE label <> 'unsure' GROUP BY 1, 2, 3, 4),
+  k AS (SELECT scene_id, row, col, label FROM c QUALIFY row_number() OVER (PARTITION BY scene_id, row, col ORDER BY CASE label WHEN 'ground' THEN 1 WHEN 'roof' THEN 2 ELSE 3 END DESC, n DESC, f) = 1),
+  g0 AS (SELECT scene_id, row, col, CASE WHEN abs(row * 7 + col * 3) % 5 < 4 THEN NULL WHEN label = 'ground' AND abs(col) % 4 = 1 THEN 'tree' ELSE label END AS label FROM k), {ROUNDS} SELECT scene_id, row, col, label FROM g3""", "points")
+def grid_fill_rounds(spark, sf_dir):
+    cells = op.vote_grid(_labels(spark, sf_dir))
+    holes = F.when(F.abs(F.col("row") * 7 + F.col("col") * 3) % 5 < 4, None).when((F.col("label") == "ground") & (F.abs("col") % 4 == 1), F.lit("tree")).otherwise(F.col("label"))
+    return op.fill_labels(cells.select("scene_id", "row", "col", holes.alias("label")))
+
+
 @query("eave_labels", f"WITH {PLANES}, nr AS (SELECT * FROM pl WHERE abs(x) <= 7.5 AND abs(z) <= 6.5) SELECT DISTINCT a.scene_id, a.pid FROM nr a JOIN nr b ON a.scene_id = b.scene_id AND a.plane >= 0 AND b.plane = -1 WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 1", "points")
 def eave_labels(spark, sf_dir):
     return op.eaves(_points(spark, sf_dir))
