@@ -20,6 +20,7 @@ and how many ids come before.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -38,7 +39,8 @@ SAMPLE = 256
 #: A shard ends after so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 20
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 150_000
+STEMS = 200_000
 PARTITION_BYTES = 64 << 20
 _U = np.uint64
 
@@ -180,35 +182,87 @@ def _split(text: str) -> list[str]:
     return text.split()
 
 
+#: Marks that no letter or digit before them joins with, in NFC or in a token.
+_MARKS = ".,;:!?*#$%&|\"()"
+
+
 class WordEncoder:
     """Ids of a text by the tokenizers library, each distinct word encoded once and remembered.
 
-    Only for tokenizers that split at white space and drop it, so that a text's
-    ids are those of its words one after the other.
+    Only for tokenizers that lower the case, split at white space (which they
+    drop) and between letters or digits and other characters, so that a text's
+    ids are those of its words one after the other, and a word's those of what
+    stands before its last marks and of these.  Other tokenizers are given whole
+    texts.
     """
 
     def __init__(self, path: str, width: int):
+        import json
+
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.tokenizer, self.type = Tokenizer.from_file(path), f"<u{width}"
-        self.known: dict[str, bytes] = {}
+        self.pack = [struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(32)]
+        parts = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and "\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(parts["pre_tokenizer"]).replace("\\\\", "\\")
+        # Two generations each: what is in use survives when a generation is full.
+        self.words, self.old_words, self.stems, self.old_stems = {}, {}, {}, {}
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        for a in range(0, len(texts), 1024):
+            for e in self.tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False):
+                ids = e.ids
+                yield self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, self.type).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember words; most differ from known stems by case or a mark at the end only."""
+        pairs = []
+        for w in new:
+            stem = w.rstrip(_MARKS)
+            if stem and not stem[-1].isalnum():
+                stem = w
+            pairs.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]))
+        stems, young, old = {x for pair in pairs for x in pair}, self.stems, self.old_stems
+        unknown = []
+        for x in stems.difference(young):
+            if x in old:
+                young[x] = old[x]
+            else:
+                unknown.append(x)
+        young.update(zip(unknown, self._ids(unknown), strict=True))
+        self.words.update(zip(new, [young[stem] + young[marks] if marks else young[stem] for stem, marks in pairs], strict=True))
+        if len(young) > STEMS:
+            self.stems, self.old_stems = {}, young
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for a in range(0, len(texts), 64):
-            parts = [_split(t) for t in texts[a : a + 64]]
-            new = list({w for p in parts for w in p}.difference(self.known))
-            if len(self.known) + len(new) > REMEMBER:
-                self.known = {}
-                new = list({w for p in parts for w in p})
-            for b in range(0, len(new), 4096):
-                batch = new[b : b + 4096]
-                for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, self.type).tobytes()
-            known = self.known.__getitem__
+        if not self.by_word:
+            yield from self._ids(texts)
+            return
+        for a in range(0, len(texts), 256):
+            parts = [_split(t) for t in texts[a : a + 256]]
+            if len(self.words) > REMEMBER:
+                self.words, self.old_words = {}, self.words
+            new, old = set().union(*parts).difference(self.words), self.old_words
+            again = new & old.keys()
+            self.words.update((w, old[w]) for w in again)
+            self._learn(list(new - again))
+            known = self.words.__getitem__
             for p in parts:
                 yield b"".join(map(known, p))
 
 
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, width: int) -> WordEncoder:
+    """A worker's own encoder, kept from task to task with what it remembers."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = WordEncoder(path, width)
+    return _ENCODERS[path, width]
+
+
 def width_of(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -219,7 +273,7 @@ def _write(folder: str, tokenizer: str, width: int, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encode = WordEncoder(tokenizer, width)
+        encode = encoder(tokenizer, width)
         end = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
         held, path, place, first, order = None, "", None, None, 0
 
