@@ -151,9 +151,12 @@ def _send_anchors(buckets: int):
 def _match_anchors(group: pa.Table) -> pa.Table:
     """One bucket: which entries other chunks have too."""
     bodies = [np.frombuffer(x, _U) for x in group["body"].to_pylist()]
-    together = np.sort(np.concatenate(bodies))
-    twice = np.unique(together[1:][together[1:] == together[:-1]])
-    bits = [np.packbits(np.isin(x, twice)).tobytes() for x in bodies]
+    together = np.concatenate(bodies)
+    order = np.argsort(together)
+    same = together[order][1:] == together[order][:-1]
+    twice = np.zeros(len(together), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(x) for x in bodies])[:-1])]
     return pa.table({"bucket": group["bucket"], "kind": group["kind"], "chunk": group["chunk"], "body": pa.array(bits, pa.binary())})
 
 
