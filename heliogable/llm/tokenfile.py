@@ -39,8 +39,8 @@ SAMPLE = 256
 #: A shard ends after so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 20
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 150_000
-STEMS = 200_000
+REMEMBER = 500_000
+STEMS = 600_000
 PARTITION_BYTES = 64 << 20
 _U = np.uint64
 
