@@ -186,6 +186,8 @@ def _work(group: pa.Table) -> pa.Table:
         part = group.slice(a, b - a)
         ids, copies = part["doc_id"].to_numpy(), part["copies"].to_numpy()
         side, band = part["side"].to_numpy(), part["band"][0].as_py()
+        if side[0] >= 0 and side.min() == side.max():
+            continue  # the other block is empty: no pairs across
         offsets, found, _ = shingles(words.as_bytes(part["text"]))
         sig = signatures(offsets, found)
         keyed = bands(sig)
@@ -197,7 +199,7 @@ def _work(group: pa.Table) -> pa.Table:
                 x = parent[x]
             return x
 
-        for i, j in _links(offsets, found, sig, keyed, side if side.min() != side.max() else None, band):
+        for i, j in _links(offsets, found, sig, keyed, side if side[0] >= 0 else None, band):
             links[i] += copies[j].sum()
             links[j] += copies[i]
             texts[i] += len(j)
@@ -210,7 +212,7 @@ def _work(group: pa.Table) -> pa.Table:
         out_links.append(links)
         out_texts.append(texts)
         out_label.append(ids[[root(x) for x in range(len(ids))]])
-    cat = lambda x: pa.array(np.concatenate(x), pa.int64())
+    cat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
     return pa.table({"doc_id": cat(out_id), "links": cat(out_links), "texts": cat(out_texts), "label": cat(out_label)})
 
 
@@ -253,11 +255,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plan = store.keep(of_group.join(by_band, "label").select("label", "blocks", ((F.col("blocks") > 1) & (F.col("moved") < F.col("n") * F.col("blocks"))).alias("banded")), f"{place}/plan")
 
     def units(df: DataFrame, name) -> DataFrame:
-        """Each member of something with so many blocks, in a unit for each pair of blocks that its own is part of."""
+        """Each member of something with so many blocks, in a unit for each pair of blocks that its own is part of; side is -1 where both are one block."""
         own = df.withColumn("own", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int"))
         other = own.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
         unit = F.concat_ws(":", name, F.least("own", "other"), F.greatest("own", "other"))
-        return other.select("rep_id", unit.alias("unit"), F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "band")
+        return other.select("rep_id", unit.alias("unit"), F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(-1).alias("side"), "band")
 
     members = coarse.select(F.col("node").alias("rep_id"), "label").join(plan, "label")
     whole = units(members.filter("not banded").withColumn("band", F.lit(None).cast("int")), F.concat(F.lit("g"), F.col("label")))

@@ -114,6 +114,15 @@ def test_jaccard_large_groups(frame, monkeypatch):
     check_links(rows, jaccard_join(frame(rows)))
 
 
+def test_jaccard_few_long_texts(frame, monkeypatch):
+    """Blocks that no text falls in leave the links as they are: groups of two to four texts, cut by their size."""
+    from heliogable.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "UNIT_WORDS", 200)
+    rows = [(10 * g + k, " ".join([f"g{g}w{i}" for i in range(200)] + [f"e{k}"] * k)) for g in range(12) for k in range(2 + g % 3)]
+    check_links(rows, jaccard_join(frame(rows)))
+
+
 @pytest.mark.skipif(not DATA.is_dir(), reason="no test data")
 def test_jaccard_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
