@@ -28,9 +28,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null doc_id stand for themselves and stay; rows that repeat a kept doc_id stay with it."""
-    gone = jaccard_join(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows are compared by a key of their own, so ids may repeat; of a group the row of the smallest doc_id stays, of several the first by a hash of the row.
+
+    Rows with a null doc_id stand for themselves and stay.
+    """
+    place = store.folder(spark, "near")
+    keyed = store.keep(docs.select(*COLUMNS).withColumns({"row": F.monotonically_increasing_id(), "mark": F.xxhash64(*COLUMNS)}), f"{place}/rows")
+    found = jaccard_join(keyed.filter("doc_id is not null"), id_col="row").filter("links > 0").select(F.col("doc_id").alias("row"), "class_id")
+    linked = store.keep(found.join(keyed.select("row", "doc_id", "mark"), "row"), f"{place}/linked")
+    first = linked.groupBy("class_id").agg(F.min(F.struct("doc_id", "mark", "row")).alias("first")).select("first.row")
+    gone = linked.select("row").join(first, "row", "left_anti")
+    return keyed.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +47,9 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each repetition.  Documents without words weigh nothing and fall out; ids are taken to be unique."""
-    times = mix(docs).filter("taken > 0").select("doc_id", "times")
-    return docs.join(times, "doc_id").withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    """A row for each repetition, of rows with a null or repeated doc_id too.  Documents without words weigh nothing and fall out."""
+    taken = mix(docs, carry=COLUMNS[1:]).filter("taken > 0")
+    return taken.withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,24 +48,27 @@ def targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int, share
     return df.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
     """A row for each document: how often, and how many words of it, the mix takes.
 
     Returns doc_id, size, source_size, target (its source's), taken (words,
-    repeats counted), times (repetitions).  Sources in code point order, null
+    repeats counted), times (repetitions) and the columns named in ``carry``.  Sources in code point order, null
     last, have the weights in turn.
 
     A null or empty text has size 0, and is taken as often as its place says,
     for 0 words.  A source without words has target 0.  A null id hashes as
     such; rows that repeat are documents of their own, ties in the hash are
-    ordered by id and size.  An empty table gives an empty one.  The same rows
-    give the same mix on every run and partitioning.  Other columns of the input
-    are not read.
+    ordered by id, size and carried columns.  An empty table gives an empty one.
+    The same rows give the same mix on every run and partitioning.  Other columns
+    of the input are not read; a carried column may not have the name of a column
+    returned.
     """
-    spark = docs.sparkSession
+    spark, carry = docs.sparkSession, list(carry or [])
+    if clash := {"doc_id", "size", "source_size", "target", "taken", "times"} & set(carry):
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     place = store.folder(spark, "mixing")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *[F.col(c).alias("c_" + c) for c in carry])
     sized = store.keep(sized, f"{place}/sizes").withColumn("bin", F.substring("key", 1, 3))
 
     bins = store.keep(sized.groupBy("source", "bin").agg(F.sum("size").alias("words")), f"{place}/bins")
@@ -86,8 +89,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = with_plan(sized, store.keep(plan, f"{place}/plan"))
 
     inside = placed.filter("bin = cut")
-    so_far = F.sum("size").over(Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = F.sum("size").over(Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *["c_" + c for c in carry]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = inside.withColumn("extra", (F.col("below") + so_far - F.col("size") / F.lit(2.0) < F.col("rest")).cast("int"))
     outside = placed.filter("cut is null or bin <> cut").withColumn("extra", F.when(F.col("bin") < F.col("cut"), 1).otherwise(0))
     times = F.col("whole") + F.col("extra")
-    return inside.unionByName(outside).select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"))
+    return inside.unionByName(outside).select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"), *[F.col("c_" + c).alias(c) for c in carry])

@@ -254,3 +254,24 @@ def test_pipeline(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
     text = dict(zip(mixed.doc_id, mixed.text, strict=True))
     assert len(pieces) == len(mixed) and all(list(r.ids) == library.encode(text[r.doc_id]) for r in pieces.itertuples())
+
+
+def test_pipeline_null_and_repeated_ids(spark, frame):
+    """Rows without an id and rows that share one go through near duplicates and mixing each for itself."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, one), (1, one), (2, one + " end"), (3, two), (2, " ".join(f"c{i}" for i in range(50))), (None, "no id here at all"), (None, "nor any id in here"), (7, "seven"), (7, "seven more words")]
+    single = pipeline.drop_near_copies(spark, frame(rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in single) == sorted((i or 0, t) for i, t in [rows[0], *rows[3:]])
+    same = [(k % 4 or None, f"{k} " + "w " * (k % 3), "en", "ab"[k % 2]) for k in range(40)]
+    mixed = pipeline.mix_sources(spark, frame(same), "").toPandas()
+    size = {t: len(t.split()) for _, t, _, _ in same}
+    times = mixed.groupby("text").size()
+    assert times.max() <= 3 and mixed.doc_id.isna().any()
+    of, sizes = {t: s for _, t, _, s in same}, {}
+    for t, n in size.items():
+        sizes[of[t]] = sizes.get(of[t], 0) + n
+    from tests.llm.test_text_operators import brute_targets
+
+    for source, target in brute_targets(sizes, (5, 2, 1)).items():
+        assert abs(sum(size[t] * n for t, n in times.items() if of[t] == source) - target) <= max(size.values())
