@@ -30,7 +30,7 @@ def plane_fit(spark, sf_dir):
 
 @query("ransac_plane")
 def ransac_plane(spark, sf_dir):
-    return op.ransac(_points(spark, sf_dir).filter("plane = 1")).select("scene_id", "inliers", *[fixed(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+    return op.ransac(bridge(spark, sf_dir, "points")).select("scene_id", "inliers", *[fixed(c, 5).alias(c) for c in ("nx", "ny", "nz")])
 
 
 CORE = "nb AS (SELECT a.scene_id, a.pid, count(*) AS near FROM roof a JOIN roof b ON a.scene_id = b.scene_id WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 0.6 GROUP BY 1, 2)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,24 @@ def test_entry_without_llm():
     import __spark_entry__ as entry
 
     assert "shading_annual" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ransac_whole_cloud(spark, monkeypatch):
+    """The best of all triples of the whole cloud, the ground and every other plane included."""
+    from itertools import combinations
+
+    from heliogable.plans import planes
+
+    ground = [(7.0 + k % 4, 0.1 + 0.03 * (k % 3), -9.0 + 1.3 * k) for k in range(12)]
+    roof = [(-4.0 + 2 * (k % 3), 6.0 - 0.5 * (1 + k), 1.0 + k) for k in range(4)] + [(0.0, 5.0 - 0.5 * k, -2.0 - k) for k in range(3)]
+    cloud = np.array(ground + roof)
+    best = 0
+    for a, b, c in combinations(cloud, 3):
+        n = np.cross(b - a, c - a)
+        size = np.sqrt(n @ n)
+        if size >= 1e-9 and abs(n[1] / size) >= 0.3:
+            best = max(best, int((np.abs((cloud - a) @ n / size) < 0.2).sum()))
+    df = spark.createDataFrame([(1, k, *map(float, p)) for k, p in enumerate(cloud)], "scene_id long, pid long, x double, y double, z double")
+    monkeypatch.setattr(planes, "bridge", lambda *a: df)
+    (row,) = planes.ransac_plane(spark, "").collect()
+    assert row.inliers == best >= 12 and row.ny > 0.95
