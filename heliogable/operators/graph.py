@@ -254,11 +254,28 @@ def nearest_on_segments(points: DataFrame, segments: DataFrame, within: float =
 def sisters(planes: DataFrame, turn: float = 20, slope: float = 10, rise: float = 1.5) -> DataFrame:
     """Pairs p < q of a scene that face away from each other at like pitch and height."""
     a, b = planes.alias("a"), planes.alias("b")
-    off = F.abs(F.pmod(F.col("a.azimuth") - F.col("b.azimuth"), num(360)) - 180)
+    off = F.abs(F.col("a.azimuth") - F.col("b.azimuth"))
+    off = F.abs(F.least(off, 360 - off) - 180)
     on = (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.face_id") < F.col("b.face_id")) & (off <= turn) & (F.abs(F.col("a.pitch") - F.col("b.pitch")) <= slope) & (F.abs(F.col("a.height") - F.col("b.height")) <= rise)
     return a.join(b, on).select(F.col("a.scene_id"), F.col("a.face_id").alias("p"), F.col("b.face_id").alias("q"))
 
 
+def structures(pairs: DataFrame) -> DataFrame:
+    """(scene_id, face_id, structure) of paired faces: pairs in order hand on the first face's structure, else the second's, else a new one named after the first.
+
+    The order matters (a face can be taken over while its earlier partners
+    stay), so each scene's few pairs are folded one after another.
+    """
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, int] = {}
+        for p, q in sorted(zip(g["p"], g["q"], strict=True)):
+            held[p] = held[q] = held.get(p, held.get(q, p))
+        return pd.DataFrame({"scene_id": g["scene_id"].iloc[0], "face_id": list(held), "structure": list(held.values())})
+
+    return pairs.groupBy("scene_id").applyInPandas(one, "scene_id long, face_id long, structure long")
+
+
 def smallest_rectangle(polygons: DataFrame) -> DataFrame:
     """Of convex polygons, the smallest rectangle that lies along one of their sides: angle, length, breadth, area."""
     n = F.size("xs")

@@ -7,6 +7,7 @@ as the radius, an equi-join on cells that spreads over the cluster.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import cos, radians
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliogable.functions.columns import clip, num
+from heliogable.operators.graph import components
+from heliogable.sources.tables import keep
 
 METRES_PER_DEGREE = 111_320.0
 _SCENE = ("scene_id",)
@@ -76,30 +79,74 @@ def remove_ground(points: DataFrame, above: float = 2.0) -> DataFrame:
     return points.join(ground_heights(points), "scene_id").filter(F.col("y") > F.col("ground") + above).withColumn("y", F.col("y") - F.col("ground")).drop("ground")
 
 
-def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
-    """scene_id, pid, rank (1 is the nearest other point), other, d: exact, ties by pid.
+def _tile_search(points: DataFrame, seekers: DataFrame | None, k: int, widen: float) -> DataFrame:
+    """One round: each tile's own points against all points of the tile and a rim as wide as a quarter of it.
 
-    Scenes are one building each; the search is a blocked distance matrix per scene.
+    A point is done where its k-th neighbour is nearer than the rim is wide, or
+    where the tile holds the whole scene; the others come back with rank 0.
     """
+    own = points.groupBy("scene_id").agg(F.count("*").alias("all"), F.min("x").alias("x0"), F.min("z").alias("z0"), (F.max("x") - F.min("x")).alias("dx"), (F.max("z") - F.min("z")).alias("dz"))
+    rim = num(widen) * F.greatest(F.sqrt(F.col("dx") * F.col("dz") * k / F.col("all")), (F.col("dx") + F.col("dz")) * k / F.col("all"), num(0.01))
+    df = points.join(own.select("scene_id", "all", "x0", "z0", rim.alias("rim")), "scene_id")
+    tile = lambda a, off: F.floor((F.col(a) - F.col(f"{a}0") + off * F.col("rim")) / (4 * F.col("rim")))
+    df = df.withColumns({"hx": tile("x", 0), "hz": tile("z", 0), "tx": F.explode(F.sequence(tile("x", -1), tile("x", 1)))}).withColumn("tz", F.explode(F.sequence(tile("z", -1), tile("z", 1))))
+    df = df.withColumn("seeks", (F.col("tx") == F.col("hx")) & (F.col("tz") == F.col("hz"))).drop("hx", "hz", "x0", "z0")
+    if seekers is not None:
+        df = df.join(seekers.withColumn("late", F.lit(True)), ["scene_id", "pid"], "left").withColumn("seeks", F.col("seeks") & F.coalesce("late", F.lit(False))).drop("late")
+        df = df.join(df.filter("seeks").select("scene_id", "tx", "tz").distinct(), ["scene_id", "tx", "tz"], "left_semi")
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pid")
+        xyz, pid = part[["x", "y", "z"]].to_numpy(), part["pid"].to_numpy()
+        mine, out = np.flatnonzero(part["seeks"].to_numpy()), []
+        n, whole, reach = min(k, len(pid) - 1), len(pid) == part["all"].iloc[0], (part["rim"].iloc[0] * (1 - 1e-9)) ** 2
+        for a in range(0, len(mine), 256):
+            at = mine[a : a + 256]
+            d2 = sum((xyz[at, None, c] - xyz[None, :, c]) ** 2 for c in range(3))
+            d2[np.arange(len(at)), at] = np.inf
+            last = np.partition(d2, n - 1, axis=1)[:, n - 1] if n else np.full(len(at), np.inf)
+            done = np.full(len(at), True) if whole else (last < reach) & (n == k)
+            row, col = np.nonzero((d2 <= last[:, None]) & done[:, None] & np.isfinite(d2))
+            order = np.lexsort((col, d2[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            row, col, rank = row[rank <= n], col[rank <= n], rank[rank <= n]
+            out.append(pd.DataFrame({"pid": pid[at[row]], "rank": rank, "other": pid[col], "d": np.sqrt(d2[row, col])}))
+            left = pid[at[~done]]
+            out.append(pd.DataFrame({"pid": left, "rank": 0, "other": left, "d": 0.0}))
+        found = pd.concat(out) if out else pd.DataFrame({"pid": [], "rank": [], "other": [], "d": []})
+        return found.assign(scene_id=part["scene_id"].iloc[0])[["scene_id", "pid", "rank", "other", "d"]]
+
+    return df.groupBy("scene_id", "tx", "tz").applyInPandas(one, "scene_id long, pid long, rank int, other long, d double")
 
-    def one(scene: pd.DataFrame) -> pd.DataFrame:
-        scene = scene.sort_values("pid")
-        xyz, pid, out = scene[["x", "y", "z"]].to_numpy(), scene["pid"].to_numpy(), []
-        for a in range(0, len(pid), 512):
-            part = xyz[a : a + 512]
-            d2 = sum((part[:, None, c] - xyz[None, :, c]) ** 2 for c in range(3))
-            d2[np.arange(len(part)), a + np.arange(len(part))] = np.inf
-            n = min(k, len(pid) - 1)
-            order = np.argsort(d2, axis=1, kind="stable")[:, :n]
-            out.append(pd.DataFrame({"scene_id": scene["scene_id"].iloc[0], "pid": np.repeat(pid[a : a + 512], n), "rank": np.tile(np.arange(1, n + 1), len(part)), "other": pid[order.ravel()], "d": np.sqrt(np.take_along_axis(d2, order, 1)).ravel()}))
-        return pd.concat(out)
 
-    return points.select("scene_id", "pid", "x", "y", "z").groupBy("scene_id").applyInPandas(one, "scene_id long, pid long, rank int, other long, d double")
+def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
+    """scene_id, pid, rank (1 is the nearest other point), other, d: exact, ties by pid.
+
+    Tiles of the ground plan, sized by each scene's density, are searched with a
+    rim; the few points near empty ground go on to tiles four and sixteen times
+    as wide, and what is left then meets its whole scene in a join that keeps k
+    rows a point before it shuffles.  Each round is written once.
+    """
+    points, seekers, found = points.select("scene_id", "pid", "x", "y", "z"), None, []
+    for widen in (1, 4, 16):
+        done = keep(_tile_search(points, seekers, k, widen), "neighbours")
+        found.append(done.filter("rank > 0"))
+        seekers = done.filter("rank = 0").select("scene_id", "pid")
+        if seekers.isEmpty():
+            break
+    else:
+        a, b = points.join(seekers, ["scene_id", "pid"], "left_semi").alias("a"), points.alias("b")
+        d = F.sqrt(sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"))
+        pairs = a.join(b, (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.pid") != F.col("b.pid"))).select("a.scene_id", "a.pid", F.col("b.pid").alias("other"), d.alias("d"))
+        rank = F.row_number().over(Window.partitionBy("scene_id", "pid").orderBy("d", "other"))
+        found.append(pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("scene_id", "pid", "rank", "other", "d"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_outliers(points: DataFrame, k: int = 20, spread: float = 2.0) -> DataFrame:
     """Points whose mean distance to their k neighbours is under the scene's mean and ``spread`` deviations."""
-    own = nearest_neighbours(points, k).groupBy("scene_id", "pid").agg(F.avg("d").alias("mean_d"))
+    own = keep(nearest_neighbours(points, k).groupBy("scene_id", "pid").agg(F.avg("d").alias("mean_d")), "mean-distance")
     limit = own.groupBy("scene_id").agg((F.avg("mean_d") + spread * F.stddev_pop("mean_d")).alias("limit"))
     return points.join(own.join(limit, "scene_id").filter("mean_d < limit").select("scene_id", "pid", "mean_d"), ["scene_id", "pid"])
 
@@ -122,59 +169,115 @@ def height_grid(points: DataFrame, cell: float = 0.5) -> DataFrame:
     return points.join(corner, "scene_id").groupBy("scene_id", at("z").alias("row"), at("x").alias("col")).agg(F.max("y").alias("h"))
 
 
-def full_grid(grid: DataFrame) -> DataFrame:
-    """All cells of each scene's rectangle, h null where empty."""
-    size = grid.groupBy("scene_id").agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
+def full_grid(grid: DataFrame, points: DataFrame | None = None, cell: float = 0.5) -> DataFrame:
+    """All cells of each scene's rectangle, h null where empty.
+
+    With ``points`` the rectangle is the cloud's extent in whole cells and one
+    more row and column; without, it ends at the last filled ones.
+    """
+    if points is None:
+        size = grid.groupBy("scene_id").agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
+    else:
+        span = lambda a: F.ceil((F.max(a) - F.min(a)) / cell).cast("int")
+        size = points.groupBy("scene_id").agg(span("z").alias("rows"), span("x").alias("cols"))
     cells = size.withColumn("row", F.explode(F.sequence(F.lit(0), "rows"))).withColumn("col", F.explode(F.sequence(F.lit(0), "cols"))).select("scene_id", "row", "col")
     return cells.join(grid, ["scene_id", "row", "col"], "left")
 
 
-def fill_grid(grid: DataFrame, reach: int = 6) -> DataFrame:
-    """Empty cells take the height of the nearest filled cell within ``reach`` cells (ties: smaller row, then column)."""
-    cells = full_grid(grid)
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    spread = grid.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).filter(F.col("dr") ** 2 + F.col("dc") ** 2 <= reach**2)
-    offer = spread.select("scene_id", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), F.struct((F.col("dr") ** 2 + F.col("dc") ** 2).alias("d2"), F.col("row").alias("r"), F.col("col").alias("c"), F.col("h").alias("h")).alias("o"))
-    best = offer.join(cells.filter("h is null").select("scene_id", "row", "col"), ["scene_id", "row", "col"]).groupBy("scene_id", "row", "col").agg(F.min("o").alias("o"))
-    return cells.join(best, ["scene_id", "row", "col"], "left").select("scene_id", "row", "col", F.coalesce("h", "o.h").alias("h"), F.col("h").isNull().alias("filled"))
-
+def fill_grid(cells: DataFrame) -> DataFrame:
+    """Empty cells (h null) take the height of the nearest filled cell, however far (ties: smaller row, then column).
 
-def radius_pairs(points: DataFrame, radius: float, flat: bool = False) -> DataFrame:
-    """scene_id, a, b, d for points a < b within the radius, by a join on cells as wide as it."""
+    The distance is separable: each cell first looks along its row for the
+    nearest filled cell to the left and right, then empty cells compare the
+    finds of all rows in their column.
+    """
+    c, own = F.col, Window.partitionBy("scene_id", "row")
+    here = F.when(c("h").isNotNull(), F.struct("col", "h"))
+    df = cells.withColumns({"l": F.last(here, True).over(own.orderBy("col")), "r": F.first(here, True).over(own.orderBy("col").rowsBetween(0, Window.unboundedFollowing))})
+    left, right = c("col") - c("l.col"), c("r.col") - c("col")
+    near = F.when(c("r").isNull() | (left <= right), c("l")).otherwise(c("r"))
+    finds = df.withColumn("n", near).filter("n is not null").select("scene_id", "col", c("row").alias("r"), (c("n.col") - c("col")).alias("dc"), c("n.col").alias("c"), c("n.h").alias("nh"))
+    offer = cells.filter("h is null").select("scene_id", "row", "col").join(finds, ["scene_id", "col"])
+    d2 = (c("r") - c("row")) * (c("r") - c("row")) + c("dc") * c("dc")
+    best = offer.groupBy("scene_id", "row", "col").agg(F.min(F.struct(d2.alias("d2"), "r", "c", "nh")).alias("o"))
+    return cells.join(best, ["scene_id", "row", "col"], "left").select("scene_id", "row", "col", F.coalesce("h", "o.nh").alias("h"), c("h").isNull().alias("filled"))
+
+
+def near_pairs(seekers: DataFrame, points: DataFrame, radius: float | str, flat: bool = False, once: bool = False) -> DataFrame:
+    """scene_id, a, b, d for each seeker a and point b within the radius; ``once`` keeps a < b.
+
+    The radius is a number, or a column of the seekers and the points that is one
+    value a scene.  An equi-join on cells as wide as it; ``flat`` measures on the
+    ground plan.
+    """
     axes = "xz" if flat else "xyz"
-    cell = {f"c{c}": F.floor(F.col(c) / radius).cast("long") for c in axes}
-    keyed = points.withColumns(cell)
-    left = keyed
+    r = num(radius) if not isinstance(radius, str) else F.col(radius)
+    side = lambda df: df.select("scene_id", "pid", *axes, r.alias("r"), *[F.floor(F.col(c) / r).cast("long").alias(f"c{c}") for c in axes])
+    left = side(seekers)
     for c in axes:
         left = left.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + k for k in (-1, 0, 1)])))
-    a, b = left.alias("a"), keyed.alias("b")
+    a, b = left.alias("a"), side(points).alias("b")
     on = [F.col("a.scene_id") == F.col("b.scene_id")] + [F.col(f"a.c{c}") == F.col(f"b.c{c}") for c in axes]
-    gap = sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in axes)
-    pairs = a.join(b, on).filter(F.col("a.pid") < F.col("b.pid")).select(F.col("a.scene_id"), F.col("a.pid").alias("a"), F.col("b.pid").alias("b"), F.sqrt(gap).alias("d"))
-    return pairs.filter(F.col("d") <= radius)
+    gap = F.sqrt(sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in axes))
+    pairs = a.join(b, on)
+    if once:
+        pairs = pairs.filter(F.col("a.pid") < F.col("b.pid"))
+    return pairs.filter(gap <= F.col("a.r")).select("a.scene_id", F.col("a.pid").alias("a"), F.col("b.pid").alias("b"), gap.alias("d"))
 
 
-def adaptive_thresholds(points: DataFrame, curvature: DataFrame) -> DataFrame:
-    """Limits that follow each scene: distance, roughness, curvature, ground height.
+def radius_pairs(points: DataFrame, radius: float | str, flat: bool = False) -> DataFrame:
+    """scene_id, a, b, d for points a < b within the radius."""
+    return near_pairs(points, points, radius, flat, once=True)
 
-    ``curvature``: scene_id, pid, curvature.
+
+def patches(points: DataFrame, radius: float | str) -> DataFrame:
+    """scene_id, pid, patch: points that hang together on the ground plan by steps within the radius, named by their smallest pid.
+
+    All points of a cell whose diagonal is the radius hang together, so only
+    cells are joined up: as many as the ground plan has, whatever the density.
+    """
+    r = num(radius) if not isinstance(radius, str) else F.col(radius)
+    side = r / num(1.4142135624)
+    df = points.withColumn("cell", F.struct(F.floor(F.col("x") / side).alias("x"), F.floor(F.col("z") / side).alias("z")))
+    names = df.groupBy("scene_id", "cell").agg(F.min("pid").alias("first"))
+    named = keep(df.join(names, ["scene_id", "cell"]).drop("cell"), "cells")
+    of = named.select("scene_id", "pid", "first")
+    links = radius_pairs(named, radius, flat=True).join(of.toDF("scene_id", "a", "fa"), ["scene_id", "a"]).join(of.toDF("scene_id", "b", "fb"), ["scene_id", "b"]).filter("fa <> fb")
+    edges = links.select("scene_id", F.least("fa", "fb").alias("p"), F.greatest("fa", "fb").alias("q")).distinct()
+    label = components(names.select("scene_id", F.col("first").alias("node")), edges)
+    return of.join(label.withColumnRenamed("node", "first"), ["scene_id", "first"]).select("scene_id", "pid", F.col("label").alias("patch"))
+
+
+def adaptive_thresholds(points: DataFrame, features: DataFrame) -> DataFrame:
+    """Limits that follow each scene: distance, roughness, curvature, ground height, compactness.
+
+    ``features``: scene_id, pid, curvature, compactness, nearest (distance of the nearest other point).
     """
-    near = nearest_neighbours(points, 1).groupBy("scene_id").agg(F.percentile("d", 0.5).alias("nn"))
+    near = features.groupBy("scene_id").agg(F.percentile("nearest", 0.5).alias("nn"))
     heights = points.groupBy("scene_id").agg(F.count("*").alias("n"), F.percentile("y", 0.1).alias("h10"), F.percentile("y", 0.9).alias("h90"))
     own = Window.partitionBy("scene_id")
-    ranked = curvature.filter("curvature > 0").select("scene_id", "curvature", F.row_number().over(own.orderBy("curvature", "pid")).alias("rank"), F.count("*").over(own).alias("all"))
+    place = lambda c: F.row_number().over(own.orderBy(c, "pid"))
+    ranked = features.filter("curvature > 0").select("scene_id", "curvature", place("curvature").alias("rank"), F.count("*").over(own).alias("all"))
     calm = ranked.filter(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("all") / 5))).groupBy("scene_id").agg(F.percentile("curvature", 0.5).alias("calm"))
-    df = near.join(heights, "scene_id").join(calm, "scene_id", "left").withColumn("distance", clip(2 * F.col("nn"), 0.05, 0.30))
+    # The first of the upper fifth: rank n_roof + 1 of those above zero, the last where there are no more.
+    tall = features.filter("compactness > 0").select("scene_id", "compactness", place("compactness").alias("rank"), F.count("*").over(own).alias("all"))
+    roof = F.greatest(F.lit(1), F.floor(F.col("all") * num(0.8)))
+    tall = tall.filter((F.col("all") > 10) & (F.col("rank") == F.least(roof + 1, F.col("all")))).select("scene_id", F.greatest(num(2), 2 * F.col("compactness")).alias("compact"))
+    df = heights.join(near, "scene_id", "left").join(calm, "scene_id", "left").join(tall, "scene_id", "left")
+    df = df.withColumn("nn", F.when(F.col("n") > 2, F.col("nn")).otherwise(num(0.15))).withColumn("distance", clip(2 * F.col("nn"), 0.05, 0.30))
     span = F.when(F.col("n") > 10, F.col("h90") - F.col("h10")).otherwise(num(3))
-    return df.select("scene_id", "nn", "distance", F.greatest(num(0.08), 3 * F.col("distance")).alias("roughness"), F.greatest(num(0.05), 5 * F.coalesce("calm", num(0.01))).alias("curvature"), F.greatest(num(0.3), F.col("h10") + num(0.15) * span).alias("ground"))
+    return df.select("scene_id", "nn", "distance", F.greatest(num(0.08), 3 * F.col("distance")).alias("roughness"), F.greatest(num(0.05), 5 * F.coalesce("calm", num(0.01))).alias("curvature"), F.greatest(num(0.3), F.col("h10") + num(0.15) * span).alias("ground"), F.coalesce("compact", num(2)).alias("compactness"))
 
 
 def moments(neighbours: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("scene_id", "pid")) -> DataFrame:
-    """Covariances of each point's neighbourhood (itself included): cxx .. czz, n, h_std, extent."""
+    """Covariances of each point's neighbourhood (itself included): cxx .. czz, n, h_std, extent, nearest, and the compactness: its height over its radius on the ground plan."""
     other = points.select("scene_id", F.col("pid").alias("other"), "x", "y", "z")
-    group = neighbours.select("scene_id", "pid", "other").union(points.select("scene_id", "pid", F.col("pid").alias("other"))).join(other, ["scene_id", "other"])
+    group = neighbours.select("scene_id", "pid", "other", "d").union(points.select("scene_id", "pid", F.col("pid").alias("other"), F.lit(None).cast("double"))).join(other, ["scene_id", "other"])
     pairs = [(a, b) for k, a in enumerate("xyz") for b in "xyz"[k:]]
-    return group.groupBy(*keys).agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs], *[F.avg(c).alias(f"m{c}") for c in "xyz"], F.stddev_pop("y").alias("h_std"), (F.max("y") - F.min("y")).alias("extent"))
+    spot = F.collect_list(F.struct("x", "z")).alias("spots")
+    df = group.groupBy(*keys).agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs], *[F.avg(c).alias(f"m{c}") for c in "xyz"], F.stddev_pop("y").alias("h_std"), (F.max("y") - F.min("y")).alias("extent"), F.min("d").alias("nearest"), spot)
+    out = F.array_max(F.transform("spots", lambda s: (s["x"] - F.col("mx")) * (s["x"] - F.col("mx")) + (s["z"] - F.col("mz")) * (s["z"] - F.col("mz"))))
+    return df.withColumn("compactness", F.col("extent") / F.greatest(F.sqrt(out), num(0.01))).drop("spots")
 
 
 def eigen3(df: DataFrame) -> DataFrame:
@@ -209,7 +312,9 @@ def normals(df: DataFrame) -> DataFrame:
 
 
 def features(points: DataFrame, k: int = 20) -> DataFrame:
-    """Normal, curvature, height deviation of each point over itself and its k neighbours."""
-    df = normals(eigen3(moments(nearest_neighbours(points, k), points)))
-    sums = F.col("e1") + F.col("e2") + F.col("e3")
-    return df.withColumn("curvature", F.when(sums > 0, F.greatest(num(0), F.col("e1")) / F.when(sums > 0, sums).otherwise(num(1))).otherwise(num(0)))
+    """Normal, curvature, height deviation, compactness of each point over its k nearest, itself among them; under three points it counts as level."""
+    df = normals(eigen3(moments(nearest_neighbours(points, k - 1), points)))
+    few, sums = F.col("n") < 3, F.col("e1") + F.col("e2") + F.col("e3")
+    df = df.withColumn("curvature", F.when(sums > 1e-12, F.greatest(num(0), F.col("e1")) / F.when(sums > 1e-12, sums).otherwise(num(1))).otherwise(num(0)))
+    level = {"nx": 0, "ny": 1, "nz": 0, "curvature": 0, "h_std": 0, "compactness": 0}
+    return df.withColumns({c: F.when(few, num(v)).otherwise(F.col(c)) for c, v in level.items()})

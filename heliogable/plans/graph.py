@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heliogable.functions.columns import fixed
+from heliogable.functions.columns import fixed, num
 from heliogable.operators import graph as op
 from heliogable.plans.base import bridge, query
 
@@ -157,9 +157,27 @@ def edge_snap(spark, sf_dir):
     return op.nearest_on_segments(v, segments).select("scene_id", "pid", "segment_id", fixed("nx", 5).alias("nx"), fixed("nz", 5).alias("nz"))
 
 
-@query("sister_faces", "SELECT a.scene_id, a.face_id AS p, b.face_id AS q FROM faces a JOIN faces b ON a.scene_id = b.scene_id AND a.face_id < b.face_id WHERE abs((a.azimuth - b.azimuth + 360) % 360 - 180) <= 50 AND abs(a.pitch - b.pitch) <= 30 AND abs(a.height - b.height) <= 2", "faces")
+FACING = "fc AS (SELECT scene_id, face_id, CAST((face_id % 4) * 90 + (face_id % 7) * 5 - 15 AS DOUBLE) AS azimuth, 20 + (face_id % 5) * 3.0 AS pitch, 5 + (face_id % 6) * 0.4 AS height FROM faces)"
+SISTERS = f"{FACING}, sis AS (SELECT a.scene_id, a.face_id AS p, b.face_id AS q FROM fc a JOIN fc b ON a.scene_id = b.scene_id AND a.face_id < b.face_id WHERE abs((a.azimuth - b.azimuth + 720) % 360 - 180) <= 20 AND abs(a.pitch - b.pitch) <= 10 AND abs(a.height - b.height) <= 1.5)"
+
+
+def _facing(spark, sf_dir):
+    i = F.col("face_id")
+    return bridge(spark, sf_dir, "faces").select("scene_id", "face_id", (i % 4 * 90 + i % 7 * 5 - 15).cast("double").alias("azimuth"), (20 + i % 5 * 3).cast("double").alias("pitch"), (5 + i % 6 * num(0.4)).alias("height"))
+
+
+@query("sister_faces", f"WITH {SISTERS} SELECT * FROM sis", "faces")
 def sister_faces(spark, sf_dir):
-    return op.sisters(bridge(spark, sf_dir, "faces"), 50, 30, 2)
+    return op.sisters(_facing(spark, sf_dir))
+
+
+@query("sister_structures", f"""WITH RECURSIVE {SISTERS}, o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY p, q) AS k FROM sis),
+  st AS (SELECT scene_id, 0::BIGINT AS k, MAP([]::BIGINT[], []::BIGINT[]) AS m FROM (SELECT DISTINCT scene_id FROM sis)
+    UNION ALL SELECT st.scene_id, o.k, map_concat(m, MAP([p, q], [coalesce(m[p], m[q], p), coalesce(m[p], m[q], p)])) FROM st JOIN o ON o.scene_id = st.scene_id AND o.k = st.k + 1),
+  last AS (SELECT scene_id, unnest(map_entries(m)) AS e FROM st QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY k DESC) = 1)
+  SELECT scene_id, e.key AS face_id, e.value AS structure FROM last""", "faces")
+def sister_structures(spark, sf_dir):
+    return op.structures(op.sisters(_facing(spark, sf_dir)))
 
 
 @query("oriented_rect", """WITH s AS (SELECT scene_id, face_id, x0, x1, z0, z1, face_id % 5 / 10.0 AS t FROM faces), v AS (SELECT scene_id, face_id, i, x * cos(t) - z * sin(t) AS x, x * sin(t) + z * cos(t) AS z FROM (SELECT scene_id, face_id, t, i, CASE WHEN i IN (0, 3) THEN x0 ELSE x1 END AS x, CASE WHEN i < 2 THEN z0 ELSE z1 END AS z FROM s, (SELECT unnest([0, 1, 2, 3]) AS i) k)),

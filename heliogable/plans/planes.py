@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heliogable.functions.columns import fixed
+from heliogable.functions.columns import fixed, num
 from heliogable.operators import planes as op
-from heliogable.operators.points import focus
+from heliogable.operators.points import nearest_neighbours
 from heliogable.plans.base import bridge, query
+from heliogable.plans.points import NEAR
 
 PLANES = "pl AS (SELECT *, CASE WHEN abs(x) <= 6 AND abs(z) <= 5 THEN CASE WHEN z >= 0 THEN 1 ELSE 0 END ELSE -1 END::BIGINT AS plane FROM points)"
-COV = "cv AS (SELECT scene_id, plane, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM pl WHERE plane >= 0 GROUP BY 1, 2)"
+COV = "cv AS (SELECT scene_id, plane, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pl WHERE plane >= 0 GROUP BY 1, 2)"
 
 
 def _points(spark, sf_dir):
@@ -18,14 +19,16 @@ def _points(spark, sf_dir):
     return bridge(spark, sf_dir, "points").withColumn("plane", F.when(inside, F.when(F.col("z") >= 0, 1).otherwise(0)).otherwise(-1).cast("long"))
 
 
-@query(
-    "plane_fit",
-    # The oracle finds the plane by regression of y on x and z, which for noise of centimetres agrees to hundredths of a degree.
-    f"WITH {PLANES}, {COV}, s AS (SELECT *, (xy * zz - yz * xz) / (xx * zz - xz * xz) AS p, (yz * xx - xy * xz) / (xx * zz - xz * xz) AS q FROM cv) SELECT scene_id, plane, n, round(degrees(atan(sqrt(p * p + q * q))), 0) + 0.0 AS pitch, round(sqrt((yy - p * xy - q * yz) / (1 + p * p + q * q)), 3) + 0.0 AS residual FROM s",
-    "points",
-)
+# The smallest eigenvalue of the covariances by its cubic, the normal as a cross product of two rows.
+FIT = f"""{COV}, fq AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cv WHERE n >= 3), fp AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy ** 2 + xz ** 2 + yz ** 2)) / 6) AS p FROM fq),
+  ft AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p ** 3)))) / 3 AS t FROM fp),
+  fe AS (SELECT *, q + 2 * p * cos(t + 2 * pi() / 3) AS e FROM ft), fn AS (SELECT *, xy * (zz - e) - xz * yz AS n0, xz * xz - (xx - e) * (zz - e) AS n1, (xx - e) * yz - xy * xz AS n2 FROM fe),
+  fit AS (SELECT scene_id, plane, n, e, sign(n1) * n0 / sqrt(n0 * n0 + n1 * n1 + n2 * n2) AS nx, abs(n1) / sqrt(n0 * n0 + n1 * n1 + n2 * n2) AS ny, sign(n1) * n2 / sqrt(n0 * n0 + n1 * n1 + n2 * n2) AS nz, mx, my, mz FROM fn)"""
+
+
+@query("plane_fit", f"WITH {PLANES}, {FIT} SELECT scene_id, plane, n, round(degrees(acos(ny)), 5) + 0.0 AS pitch, round(sqrt(greatest(0, e)), 5) + 0.0 AS residual FROM fit", "points")
 def plane_fit(spark, sf_dir):
-    return op.fit(_points(spark, sf_dir).filter("plane >= 0")).select("scene_id", "plane", "n", fixed("pitch", 0).alias("pitch"), fixed("residual", 3).alias("residual"))
+    return op.fit(_points(spark, sf_dir).filter("plane >= 0")).select("scene_id", "plane", "n", fixed("pitch", 5).alias("pitch"), fixed("residual", 5).alias("residual"))
 
 
 @query("ransac_plane")
@@ -33,21 +36,27 @@ def ransac_plane(spark, sf_dir):
     return op.ransac(bridge(spark, sf_dir, "points")).select("scene_id", "inliers", *[fixed(c, 5).alias(c) for c in ("nx", "ny", "nz")])
 
 
-CORE = "nb AS (SELECT a.scene_id, a.pid, count(*) AS near FROM roof a JOIN roof b ON a.scene_id = b.scene_id WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 0.6 GROUP BY 1, 2)"
-ROOF = "roof AS (SELECT * FROM points WHERE sqrt(x * x + z * z) <= 6)"
+NINE = "(SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dz)"
+CORE = f"""c9 AS (SELECT scene_id, pid, x, z, floor(x / 2) + dx AS cx, floor(z / 2) + dz AS cz FROM points, {NINE}),
+  pr AS (SELECT a.scene_id, a.pid AS a, b.pid AS b FROM points a JOIN c9 b ON a.scene_id = b.scene_id AND floor(a.x / 2) = cx AND floor(a.z / 2) = cz WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 2), nb AS (SELECT scene_id, a AS pid, count(*) AS near FROM pr GROUP BY 1, 2)"""
+
+
+def components_sql(nodes: str, links: str, name: str) -> str:
+    """A recursive relation (scene_id, pid, low): smallest label that reaches a node over directed links (scene_id, a, b)."""
+    return f"""{name}(scene_id, pid, low) USING KEY (scene_id, pid) AS (SELECT scene_id, pid, pid FROM {nodes}
+    UNION SELECT k.scene_id, k.b, min(t.low) FROM {name} t JOIN {links} k ON k.scene_id = t.scene_id AND k.a = t.pid JOIN recurring.{name} r ON r.scene_id = k.scene_id AND r.pid = k.b WHERE t.low < r.low GROUP BY 1, 2)"""
 
 
-@query("dbscan_core", f"WITH {ROOF}, {CORE} SELECT scene_id, pid, near, near >= 5 AS core FROM nb", "points")
+@query("dbscan_core", f"WITH {CORE} SELECT scene_id, pid, near, near >= 20 AS core FROM nb", "points")
 def dbscan_core(spark, sf_dir):
-    return op.core_points(focus(bridge(spark, sf_dir, "points"), 6.0), 0.6, 5).select("scene_id", "pid", "near", "core")
+    return op.core_points(bridge(spark, sf_dir, "points")).select("scene_id", "pid", "near", "core")
 
 
-@query("dbscan_xz", f"""WITH RECURSIVE {ROOF}, {CORE}, co AS (SELECT r.* FROM roof r JOIN nb USING (scene_id, pid) WHERE near >= 5), lk AS (SELECT a.scene_id, a.pid AS a, b.pid AS b FROM co a JOIN co b ON a.scene_id = b.scene_id WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 0.6),
-  rc AS (SELECT scene_id, pid, pid AS seen FROM co UNION SELECT rc.scene_id, rc.pid, lk.b FROM rc JOIN lk ON rc.scene_id = lk.scene_id AND rc.seen = lk.a), lb AS (SELECT scene_id, pid, min(seen) AS cluster FROM rc GROUP BY 1, 2),
-  bd AS (SELECT r.scene_id, r.pid, min(lb.cluster) AS reach FROM roof r JOIN co ON r.scene_id = co.scene_id AND sqrt((r.x - co.x) ** 2 + (r.z - co.z) ** 2) <= 0.6 JOIN lb ON lb.scene_id = co.scene_id AND lb.pid = co.pid GROUP BY 1, 2)
-  SELECT r.scene_id, r.pid, coalesce(lb.cluster, bd.reach) AS cluster FROM roof r LEFT JOIN lb USING (scene_id, pid) LEFT JOIN bd USING (scene_id, pid)""", "points")
+@query("dbscan_xz", f"""WITH RECURSIVE {CORE}, co AS (SELECT scene_id, pid FROM nb WHERE near >= 20), kl AS (SELECT pr.* FROM pr JOIN co u ON u.scene_id = pr.scene_id AND u.pid = a JOIN co v ON v.scene_id = pr.scene_id AND v.pid = b WHERE a <> b), {components_sql("co", "kl", "lb")},
+  bd AS (SELECT pr.scene_id, a AS pid, min(lb.low) AS reach FROM pr JOIN lb ON lb.scene_id = pr.scene_id AND lb.pid = b GROUP BY 1, 2), sc AS (SELECT scene_id, min(pid) AS first, bool_or(pid IN (SELECT pid FROM co)) AS any_core FROM points GROUP BY 1)
+  SELECT p.scene_id, p.pid, CASE WHEN any_core THEN coalesce(lb.low, bd.reach) ELSE first END AS cluster FROM points p JOIN sc USING (scene_id) LEFT JOIN lb USING (scene_id, pid) LEFT JOIN bd USING (scene_id, pid)""", "points")
 def dbscan_xz(spark, sf_dir):
-    return op.dbscan(focus(bridge(spark, sf_dir, "points"), 6.0), 0.6, 5).select("scene_id", "pid", "cluster")
+    return op.dbscan(bridge(spark, sf_dir, "points")).select("scene_id", "pid", "cluster")
 
 
 @query("coplanar_merge")
@@ -56,9 +65,15 @@ def coplanar_merge(spark, sf_dir):
     return op.merge_coplanar(op.fit(strips))
 
 
-@query("density_prefilter", "WITH f AS (SELECT * FROM points WHERE sqrt(x * x + z * z) <= 6) SELECT a.scene_id, a.pid FROM f a JOIN f b ON a.scene_id = b.scene_id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.5 GROUP BY 1, 2 HAVING count(*) >= 3", "points")
+@query("density_prefilter", f"""WITH RECURSIVE {NEAR}, rr AS (SELECT p.*, greatest(0.3, 2 * CASE WHEN c > 2 THEN nn ELSE 0.15 END) AS r, c FROM points p JOIN (SELECT scene_id, count(*) AS c FROM points GROUP BY 1) USING (scene_id) LEFT JOIN (SELECT scene_id, quantile_cont(sqrt(d2), 0.5) AS nn FROM near WHERE rank = 1 GROUP BY 1) USING (scene_id)),
+  r9 AS (SELECT scene_id, pid, x, y, z, floor(x / r) + dx AS cx, floor(z / r) + dz AS cz FROM rr, {NINE}), ok AS (SELECT a.scene_id, a.pid FROM rr a JOIN r9 b ON a.scene_id = b.scene_id AND floor(a.x / r) = b.cx AND floor(a.z / r) = b.cz WHERE c >= 5 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= r GROUP BY 1, 2 HAVING count(*) >= 3),
+  kp AS (SELECT rr.* FROM rr JOIN ok USING (scene_id, pid)), k9 AS (SELECT scene_id, pid, x, z, floor(x / (1.5 * r)) + dx AS cx, floor(z / (1.5 * r)) + dz AS cz FROM kp, {NINE}),
+  kl AS (SELECT a.scene_id, a.pid AS a, b.pid AS b FROM kp a JOIN k9 b ON a.scene_id = b.scene_id AND floor(a.x / (1.5 * r)) = b.cx AND floor(a.z / (1.5 * r)) = b.cz AND a.pid <> b.pid WHERE sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 1.5 * r), {components_sql("kp", "kl", "lb")},
+  sz AS (SELECT scene_id, pid, count(*) OVER (PARTITION BY scene_id, low) AS size, count(*) OVER (PARTITION BY scene_id) AS kept FROM lb) SELECT scene_id, pid FROM sz WHERE kept <= 10 OR size >= 5 UNION ALL SELECT scene_id, pid FROM rr WHERE c < 5""", "points")
 def density_prefilter(spark, sf_dir):
-    return op.dense(focus(bridge(spark, sf_dir, "points"), 6.0)).select("scene_id", "pid")
+    p = bridge(spark, sf_dir, "points")
+    near = nearest_neighbours(p, 1).groupBy("scene_id").agg(F.when(F.count("*") > 2, F.percentile("d", 0.5)).otherwise(num(0.15)).alias("nn"))
+    return op.dense(p, near).select("scene_id", "pid")
 
 
 def _edges(spark, sf_dir):
@@ -68,7 +83,9 @@ def _edges(spark, sf_dir):
 
 BANDS = """ed AS (SELECT * FROM (VALUES (0, 'ridge', -6.0, 0.0, 6.0, 0.0), (1, 'hip', -6.0, -5.0, -1.0, 0.0), (2, 'valley', 6.0, 5.0, 1.0, 0.0), (3, 'eave', -6.0, 5.0, 6.0, 5.0)) AS v(edge_id, kind, x0, z0, x1, z1)),
   tt AS (SELECT *, least(1, greatest(0, ((x - x0) * (x1 - x0) + (z - z0) * (z1 - z0)) / ((x1 - x0) ** 2 + (z1 - z0) ** 2))) AS t FROM pl, ed WHERE plane >= 0), gp AS (SELECT *, round(sqrt((x - x0 - t * (x1 - x0)) ** 2 + (z - z0 - t * (z1 - z0)) ** 2), 9) AS gap FROM tt),
-  lb AS (SELECT scene_id, pid, CASE WHEN kind IN ('ridge', 'hip') AND gap < 0.15 THEN 'ridge_dot' WHEN kind IN ('ridge', 'hip') AND gap < 0.3 THEN 'near_ridge' WHEN kind = 'valley' AND gap < 0.15 THEN 'valley_dot' END AS label, edge_id FROM gp),
+  r5 AS (SELECT scene_id, pid, plane, x, z, floor(x) + dx AS cx, floor(z) + dz AS cz FROM pl, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dz) WHERE plane >= 0),
+  tw AS (SELECT a.scene_id, a.pid FROM pl a JOIN r5 b ON a.scene_id = b.scene_id AND floor(a.x) = cx AND floor(a.z) = cz WHERE a.plane >= 0 AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 0.5 GROUP BY 1, 2 HAVING count(DISTINCT b.plane) >= 2),
+  lb AS (SELECT scene_id, pid, CASE WHEN kind <> 'valley' AND tw.pid IS NULL THEN NULL WHEN kind IN ('ridge', 'hip') AND gap < 0.15 THEN 'ridge_dot' WHEN kind IN ('ridge', 'hip') AND gap < 0.3 THEN 'near_ridge' WHEN kind = 'valley' AND gap < 0.15 THEN 'valley_dot' END AS label, edge_id FROM gp LEFT JOIN tw USING (scene_id, pid)),
   bands AS (SELECT scene_id, pid, label FROM lb WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scene_id, pid ORDER BY edge_id) = 1)"""
 
 
@@ -125,7 +142,8 @@ def ridge_pca_line(spark, sf_dir):
     return op.ridge_line(_labels(spark, sf_dir).filter("label = 'ridge_dot'")).select("scene_id", "n", fixed("degrees", 4).alias("degrees"), fixed("length", 5).alias("length"))
 
 
-@query("canopy_audit", f"WITH {PLANES}, {COV}, s AS (SELECT *, (xy * zz - yz * xz) / (xx * zz - xz * xz) AS p, (yz * xx - xy * xz) / (xx * zz - xz * xz) AS q FROM cv), e AS (SELECT scene_id, plane, max(y) - min(y) AS extent FROM pl WHERE plane >= 0 GROUP BY 1, 2) SELECT scene_id, plane, round(sqrt((yy - p * xy - q * yz) / (1 + p * p + q * q)), 3) + 0.0 AS spread, round(extent, 6) + 0.0 AS extent, false AS is_canopy FROM s JOIN e USING (scene_id, plane)", "points")
+@query("canopy_audit", f"""WITH {PLANES}, {FIT}, dd AS (SELECT scene_id, plane, stddev_pop((x - mx) * nx + (y - my) * ny + (z - mz) * nz) AS spread, max(y) - min(y) AS extent, avg(CASE WHEN abs((x - mx) * nx + (y - my) * ny + (z - mz) * nz) > 0.25 THEN 1.0 ELSE 0 END) AS off FROM pl JOIN fit USING (scene_id, plane) GROUP BY 1, 2)
+  SELECT scene_id, plane, round(spread, 5) + 0.0 AS spread, round(extent, 6) + 0.0 AS extent, round(spread, 9) > 0.25 AND extent > 1.2 AND round(off, 9) > 0.4 AS is_canopy FROM dd""", "points")
 def canopy_audit(spark, sf_dir):
     p = _points(spark, sf_dir).filter("plane >= 0")
-    return op.canopy(p, op.fit(p)).select("scene_id", "plane", fixed("spread", 3).alias("spread"), fixed("extent", 6).alias("extent"), "is_canopy")
+    return op.canopy(p, op.fit(p)).select("scene_id", "plane", fixed("spread", 5).alias("spread"), fixed("extent", 6).alias("extent"), "is_canopy")
