@@ -11,7 +11,7 @@ from functools import reduce
 from math import cos, radians
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,49 +79,75 @@ def remove_ground(points: DataFrame, above: float = 2.0) -> DataFrame:
     return points.join(ground_heights(points), "scene_id").filter(F.col("y") > F.col("ground") + above).withColumn("y", F.col("y") - F.col("ground")).drop("ground")
 
 
-def _tile_search(points: DataFrame, seekers: DataFrame | None, k: int, widen: float) -> DataFrame:
+_LISTS = "near array<struct<other:long,d:double,x:double,y:double,z:double>>"
+_MOMENTS = [f"c{a}{b}" for k, a in enumerate("xyz") for b in "xyz"[k:]] + ["mx", "my", "mz", "h_std", "extent", "compactness", "nearest", "farthest", "mean_d"]
+
+
+def _lists(own: np.ndarray, other: np.ndarray, d: np.ndarray, near: np.ndarray) -> dict:
+    """``near`` of the found neighbours: ids and distances (points x n), places (3 x points x n)."""
+    found = pa.StructArray.from_arrays([pa.array(c.ravel()) for c in (other, d, *near)], ["other", "d", "x", "y", "z"])
+    return {"near": pa.ListArray.from_arrays(pa.array(np.arange(len(other) + 1) * other.shape[1], pa.int32()), found)}
+
+
+def _moments(own: np.ndarray, other: np.ndarray, d: np.ndarray, near: np.ndarray) -> dict:
+    """Covariances and extents of the neighbours and the point itself, summed about it."""
+    off = np.concatenate([near - own[:, :, None], np.zeros((*own.shape, 1))], axis=2)
+    mean = off.mean(axis=2)
+    off = off - mean[:, :, None]
+    cov = {f"c{a}{b}": (off[i] * off[j]).mean(axis=1) for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j}
+    extent = off[1].max(axis=1) - off[1].min(axis=1)
+    wide = np.sqrt((off[0] ** 2 + off[2] ** 2).max(axis=1))
+    gaps = (d.min(axis=1), d.max(axis=1), d.mean(axis=1)) if d.shape[1] else [pa.nulls(len(d), pa.float64())] * 3
+    values = [*cov.values(), *(mean + own), np.sqrt(cov["cyy"]), extent, extent / np.maximum(wide, 0.01), *gaps]
+    return {"n": pa.array(np.full(len(d), d.shape[1] + 1)), **dict(zip(_MOMENTS, values, strict=True))}
+
+
+def _tile_search(points: DataFrame, seekers: DataFrame | None, k: int, widen: float, shape, schema: str) -> DataFrame:
     """One round: each tile's own points against all points of the tile and a rim as wide as a quarter of it.
 
     A point is done where its k-th neighbour is nearer than the rim is wide, or
-    where the tile holds the whole scene; the others come back with rank 0.
+    where the tile holds the whole scene; ``shape`` turns its neighbours into
+    columns.  The others come back with ``done`` false.
     """
+    names = [f.split(" ")[0] for f in schema.split(", ")]
     own = points.groupBy("scene_id").agg(F.count("*").alias("all"), F.min("x").alias("x0"), F.min("z").alias("z0"), (F.max("x") - F.min("x")).alias("dx"), (F.max("z") - F.min("z")).alias("dz"))
     rim = num(widen) * F.greatest(F.sqrt(F.col("dx") * F.col("dz") * k / F.col("all")), (F.col("dx") + F.col("dz")) * k / F.col("all"), num(0.01))
-    df = points.join(own.select("scene_id", "all", "x0", "z0", rim.alias("rim")), "scene_id")
-    tile = lambda a, off: F.floor((F.col(a) - F.col(f"{a}0") + off * F.col("rim")) / (4 * F.col("rim")))
+    df = points.join(own.select("scene_id", "all", "x0", "z0", "dx", "dz", rim.alias("rim")), "scene_id")
+    tile = lambda a, off: F.floor(F.least(F.greatest(F.col(a) - F.col(f"{a}0") + off * F.col("rim"), num(0)), F.col(f"d{a}")) / (4 * F.col("rim")))
     df = df.withColumns({"hx": tile("x", 0), "hz": tile("z", 0), "tx": F.explode(F.sequence(tile("x", -1), tile("x", 1)))}).withColumn("tz", F.explode(F.sequence(tile("z", -1), tile("z", 1))))
-    df = df.withColumn("seeks", (F.col("tx") == F.col("hx")) & (F.col("tz") == F.col("hz"))).drop("hx", "hz", "x0", "z0")
+    df = df.withColumn("seeks", (F.col("tx") == F.col("hx")) & (F.col("tz") == F.col("hz"))).drop("hx", "hz", "x0", "z0", "dx", "dz")
     if seekers is not None:
         df = df.join(seekers.withColumn("late", F.lit(True)), ["scene_id", "pid"], "left").withColumn("seeks", F.col("seeks") & F.coalesce("late", F.lit(False))).drop("late")
         df = df.join(df.filter("seeks").select("scene_id", "tx", "tz").distinct(), ["scene_id", "tx", "tz"], "left_semi")
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pid")
-        xyz, pid = part[["x", "y", "z"]].to_numpy(), part["pid"].to_numpy()
-        mine, out = np.flatnonzero(part["seeks"].to_numpy()), []
-        n, whole, reach = min(k, len(pid) - 1), len(pid) == part["all"].iloc[0], (part["rim"].iloc[0] * (1 - 1e-9)) ** 2
+    def one(part: pa.Table) -> pa.Table:
+        columns = {c: part[c].to_numpy() for c in ("pid", "x", "y", "z", "seeks")}
+        order = np.argsort(columns["pid"])
+        pid, xyz, out = columns["pid"][order], np.stack([columns[c][order] for c in "xyz"]), []
+        mine = np.flatnonzero(columns["seeks"][order])
+        scene, n, whole, reach = part["scene_id"][0].as_py(), min(k, len(pid) - 1), len(pid) == part["all"][0].as_py(), (part["rim"][0].as_py() * (1 - 1e-9)) ** 2
         for a in range(0, len(mine), 256):
             at = mine[a : a + 256]
-            d2 = sum((xyz[at, None, c] - xyz[None, :, c]) ** 2 for c in range(3))
+            d2 = sum((axis[at, None] - axis[None, :]) ** 2 for axis in xyz)
             d2[np.arange(len(at)), at] = np.inf
             last = np.partition(d2, n - 1, axis=1)[:, n - 1] if n else np.full(len(at), np.inf)
             done = np.full(len(at), True) if whole else (last < reach) & (n == k)
             row, col = np.nonzero((d2 <= last[:, None]) & done[:, None] & np.isfinite(d2))
-            order = np.lexsort((col, d2[row, col], row))
-            row, col = row[order], col[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-            row, col, rank = row[rank <= n], col[rank <= n], rank[rank <= n]
-            out.append(pd.DataFrame({"pid": pid[at[row]], "rank": rank, "other": pid[col], "d": np.sqrt(d2[row, col])}))
-            left = pid[at[~done]]
-            out.append(pd.DataFrame({"pid": left, "rank": 0, "other": left, "d": 0.0}))
-        found = pd.concat(out) if out else pd.DataFrame({"pid": [], "rank": [], "other": [], "d": []})
-        return found.assign(scene_id=part["scene_id"].iloc[0])[["scene_id", "pid", "rank", "other", "d"]]
+            by = np.lexsort((col, d2[row, col], row))
+            row, col = row[by], col[by]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < n
+            col, at, left = col[first].reshape(-1, n) if n else np.empty((done.sum(), 0), int), at[done], at[~done]
+            got = shape(xyz[:, at], pid[col], np.sqrt(((xyz[:, at, None] - xyz[:, col]) ** 2).sum(axis=0)), xyz[:, col])
+            out.append(pa.table({"scene_id": np.full(len(at), scene), "pid": pid[at], "done": np.full(len(at), True), **got}))
+            out.append(pa.table({"scene_id": np.full(len(left), scene), "pid": pid[left], "done": np.full(len(left), False), **{c: pa.nulls(len(left), out[0].schema.field(c).type) for c in names}}))
+        return pa.concat_tables(out) if out else one(part.slice(0, 1).set_column(part.schema.get_field_index("seeks"), "seeks", pa.array([True]))).slice(0, 0)
 
-    return df.groupBy("scene_id", "tx", "tz").applyInPandas(one, "scene_id long, pid long, rank int, other long, d double")
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scene_id", "tx", "tz")
+    return spread.groupBy("scene_id", "tx", "tz").applyInArrow(one, f"scene_id long, pid long, done boolean, {schema}")
 
 
-def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
-    """scene_id, pid, rank (1 is the nearest other point), other, d: exact, ties by pid.
+def _search(points: DataFrame, k: int, shape, schema: str) -> DataFrame:
+    """Each point's k nearest others in the columns of ``shape``; exact, ties by pid.
 
     Tiles of the ground plan, sized by each scene's density, are searched with a
     rim; the few points near empty ground go on to tiles four and sixteen times
@@ -130,23 +156,45 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
     """
     points, seekers, found = points.select("scene_id", "pid", "x", "y", "z"), None, []
     for widen in (1, 4, 16):
-        done = keep(_tile_search(points, seekers, k, widen), "neighbours")
-        found.append(done.filter("rank > 0"))
-        seekers = done.filter("rank = 0").select("scene_id", "pid")
+        round_ = keep(_tile_search(points, seekers, k, widen, shape, schema), "neighbours")
+        found.append(round_.filter("done").drop("done"))
+        seekers = round_.filter("not done").select("scene_id", "pid")
         if seekers.isEmpty():
             break
     else:
         a, b = points.join(seekers, ["scene_id", "pid"], "left_semi").alias("a"), points.alias("b")
         d = F.sqrt(sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"))
-        pairs = a.join(b, (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.pid") != F.col("b.pid"))).select("a.scene_id", "a.pid", F.col("b.pid").alias("other"), d.alias("d"))
+        pairs = a.join(b, (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.pid") != F.col("b.pid"))).select("a.scene_id", "a.pid", *[F.col(f"a.{c}").alias(f"{c}0") for c in "xyz"], F.col("b.pid").alias("other"), d.alias("d"), "b.x", "b.y", "b.z")
         rank = F.row_number().over(Window.partitionBy("scene_id", "pid").orderBy("d", "other"))
-        found.append(pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("scene_id", "pid", "rank", "other", "d"))
+
+        def one(g: pa.Table) -> pa.Table:
+            g = g.sort_by("rank")
+            own, other, d = np.array([[g[f"{c}0"][0].as_py()] for c in "xyz"]), g["other"].to_numpy()[None], g["d"].to_numpy()[None]
+            return pa.table({"scene_id": g["scene_id"][:1], "pid": g["pid"][:1], **shape(own, other, d, np.stack([g[c].to_numpy() for c in "xyz"])[:, None])})
+
+        found.append(pairs.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("scene_id", "pid").applyInArrow(one, f"scene_id long, pid long, {schema}"))
     return reduce(DataFrame.unionByName, found)
 
 
+def neighbourhoods(points: DataFrame, k: int) -> DataFrame:
+    """scene_id, pid, near: each point's k nearest others with distance and place, nearest first."""
+    return _search(points, k, _lists, _LISTS)
+
+
+def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
+    """scene_id, pid, rank (1 is the nearest other point), other, d, of ``neighbourhoods``."""
+    df = neighbourhoods(points, k).select("scene_id", "pid", F.posexplode("near").alias("place", "n"))
+    return df.select("scene_id", "pid", (F.col("place") + 1).alias("rank"), "n.other", "n.d")
+
+
+def moments(points: DataFrame, k: int) -> DataFrame:
+    """Of each point, its k nearest and itself: n, covariances cxx .. czz, means, h_std, extent, the compactness (height over radius on the ground plan) and the neighbours' nearest, farthest and mean distance."""
+    return _search(points, k, _moments, ", ".join(["n long", *[f"{c} double" for c in _MOMENTS]]))
+
+
 def remove_outliers(points: DataFrame, k: int = 20, spread: float = 2.0) -> DataFrame:
     """Points whose mean distance to their k neighbours is under the scene's mean and ``spread`` deviations."""
-    own = keep(nearest_neighbours(points, k).groupBy("scene_id", "pid").agg(F.avg("d").alias("mean_d")), "mean-distance")
+    own = moments(points, k).filter("n > 1").select("scene_id", "pid", "mean_d")
     limit = own.groupBy("scene_id").agg((F.avg("mean_d") + spread * F.stddev_pop("mean_d")).alias("limit"))
     return points.join(own.join(limit, "scene_id").filter("mean_d < limit").select("scene_id", "pid", "mean_d"), ["scene_id", "pid"])
 
@@ -269,17 +317,6 @@ def adaptive_thresholds(points: DataFrame, features: DataFrame) -> DataFrame:
     return df.select("scene_id", "nn", "distance", F.greatest(num(0.08), 3 * F.col("distance")).alias("roughness"), F.greatest(num(0.05), 5 * F.coalesce("calm", num(0.01))).alias("curvature"), F.greatest(num(0.3), F.col("h10") + num(0.15) * span).alias("ground"), F.coalesce("compact", num(2)).alias("compactness"))
 
 
-def moments(neighbours: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("scene_id", "pid")) -> DataFrame:
-    """Covariances of each point's neighbourhood (itself included): cxx .. czz, n, h_std, extent, nearest, and the compactness: its height over its radius on the ground plan."""
-    other = points.select("scene_id", F.col("pid").alias("other"), "x", "y", "z")
-    group = neighbours.select("scene_id", "pid", "other", "d").union(points.select("scene_id", "pid", F.col("pid").alias("other"), F.lit(None).cast("double"))).join(other, ["scene_id", "other"])
-    pairs = [(a, b) for k, a in enumerate("xyz") for b in "xyz"[k:]]
-    spot = F.collect_list(F.struct("x", "z")).alias("spots")
-    df = group.groupBy(*keys).agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs], *[F.avg(c).alias(f"m{c}") for c in "xyz"], F.stddev_pop("y").alias("h_std"), (F.max("y") - F.min("y")).alias("extent"), F.min("d").alias("nearest"), spot)
-    out = F.array_max(F.transform("spots", lambda s: (s["x"] - F.col("mx")) * (s["x"] - F.col("mx")) + (s["z"] - F.col("mz")) * (s["z"] - F.col("mz"))))
-    return df.withColumn("compactness", F.col("extent") / F.greatest(F.sqrt(out), num(0.01))).drop("spots")
-
-
 def eigen3(df: DataFrame) -> DataFrame:
     """With e1 <= e2 <= e3, the eigenvalues of the symmetric matrix cxx .. czz, in closed form."""
     c = {k: F.col(f"c{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
@@ -313,7 +350,7 @@ def normals(df: DataFrame) -> DataFrame:
 
 def features(points: DataFrame, k: int = 20) -> DataFrame:
     """Normal, curvature, height deviation, compactness of each point over its k nearest, itself among them; under three points it counts as level."""
-    df = normals(eigen3(moments(nearest_neighbours(points, k - 1), points)))
+    df = normals(eigen3(moments(points, k - 1)))
     few, sums = F.col("n") < 3, F.col("e1") + F.col("e2") + F.col("e3")
     df = df.withColumn("curvature", F.when(sums > 1e-12, F.greatest(num(0), F.col("e1")) / F.when(sums > 1e-12, sums).otherwise(num(1))).otherwise(num(0)))
     level = {"nx": 0, "ny": 1, "nz": 0, "curvature": 0, "h_std": 0, "compactness": 0}
