@@ -1,18 +1,24 @@
 """Visible text of HTML pages, laid out: blocks apart, lists marked, table cells aligned.
 
-A tokenizer feeds a tree builder that supplies what pages leave out (ends of
-paragraphs, items, rows and cells; rows and sections of tables; heads and
-bodies).  Rendering walks the tree without recursion, but for tables in tables.
-Not shown are heads, scripts, styles, templates and the like, what has
-``hidden``, closed ``details`` and ``dialog``, and what a style attribute or a
-simple style rule (tag, .class, #id, tag.class) hides.
+A tokenizer that follows HTML's states feeds a tree builder that supplies what
+pages leave out (ends of paragraphs, items, rows and cells; rows and sections of
+tables; heads and bodies).  A pass from the top then settles what shows:
+``hidden``, closed ``details`` and ``dialog``, and ``display`` and
+``visibility`` of style attributes and style sheets by importance, specificity
+and order; visibility is inherited, so a visible part of a hidden one shows.
+Selectors are compounds of tag, classes, id and attributes, joined by descent or
+childhood; others (siblings, pseudo-classes) match nothing.  Media rules count
+as on a screen of 1280 x 800.  Tables are set from the innermost outwards, and
+everything else walks the tree without recursion.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +28,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPABLE = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas datalist title svg math map".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe audio video canvas datalist title rp".split())
+UNSEEN_SVG = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
+UNSEEN_MATH = frozenset("annotation annotation-xml".split())
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr listing ol p pre table ul dir menu".split())
@@ -42,21 +50,20 @@ ENDS = {
     "tbody": (SECTIONS | {"tr", "caption", "colgroup"}, frozenset(("table",))), "thead": (SECTIONS | {"tr", "caption", "colgroup"}, frozenset(("table",))), "tfoot": (SECTIONS | {"tr", "caption", "colgroup"}, frozenset(("table",))),
 }
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"(?:^|;|\s)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?\Z")
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+"
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})?)?)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'>][^\s>]*+))?)?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-#: A column is padded to this width at most; cells in tables nested deeper than this are set as blocks.
-WIDEST, DEEPEST = 60, 20
+#: Lists and quotes are indented this many levels at most; text further in stands at the last.
+INDENTS = 32
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "shown", "visible", "display", "lines")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.shown, self.visible, self.display, self.lines = True, True, None, None
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -90,41 +97,52 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
 
 class Builder:
-    """The tree of a page; ``open`` is the path to where the next node goes."""
+    """The tree of a page; ``open`` is the path to where the next node goes, ``places`` where each tag stands in it."""
 
     def __init__(self):
         self.root = Node("html", {})
-        self.open, self.body, self.styles = [self.root], None, []
+        self.open, self.places, self.blocks = [self.root], defaultdict(list), []
+        self.body, self.styles = None, []
 
     def _push(self, tag: str, attributes: dict[str, str]) -> Node:
         node = Node(tag, attributes)
         self.open[-1].children.append(node)
+        self.places[tag].append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append(node)
         return node
 
+    def _cut(self, k: int) -> None:
+        """Close the elements from the k-th on."""
+        while len(self.open) > k:
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def _last(self, tags: frozenset | tuple) -> int:
+        """Where the innermost open element of these tags stands, 0 if there is none."""
+        return max((here[-1] for tag in tags if (here := self.places.get(tag))), default=0)
+
     def _end(self, ends: frozenset, limits: frozenset) -> None:
         """Close the nearest of ``ends`` again and again, as far as no limit stands in between."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k].tag
-            if tag in ends:
-                del self.open[k:]
-            elif tag in limits:
-                return
+        while (k := self._last(ends)) and k > self._last(limits - ends):
+            self._cut(k)
 
     def _in_body(self) -> None:
         if self.body is None:
-            del self.open[1:]
+            self._cut(1)
             self.body = self._push("body", {})
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag == "html":
             return
         if tag in ("head", "body"):
-            if tag == "body" or self.body is None:
-                if self.body is None:
-                    del self.open[1:]
-                    node = self._push(tag, attributes)
-                    self.body = node if tag == "body" else None
+            if self.body is None:
+                self._cut(1)
+                node = self._push(tag, attributes)
+                self.body = node if tag == "body" else None
             return
         if self.body is None:
             if tag not in IN_HEAD:
@@ -132,10 +150,10 @@ class Builder:
             elif len(self.open) == 1:
                 self._push("head", {})
         if tag in ENDS_P:
-            self._end(frozenset(("p",)), SCOPE)
+            self._end(_P, SCOPE)
         if tag in ENDS:
             self._end(*ENDS[tag])
-        if tag in PARTS and self._table() is None:
+        if tag in PARTS and self._last(("table",)) <= self._last(CELLS):
             return  # parts of tables mean nothing outside one
         if tag in CELLS and self.open[-1].tag != "tr":
             self.start("tr", {})
@@ -143,15 +161,7 @@ class Builder:
             self._push("tbody", {})
         self._push(tag, attributes)
         if tag in VOID:
-            self.open.pop()
-
-    def _table(self) -> Node | None:
-        for node in reversed(self.open):
-            if node.tag == "table":
-                return node
-            if node.tag in CELLS:
-                return None
-        return None
+            self._cut(len(self.open) - 1)
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -160,20 +170,20 @@ class Builder:
             return None
         if tag == "head":
             if self.body is None:
-                del self.open[1:]
+                self._cut(1)
             return None
-        for k in range(len(self.open) - 1, 0, -1):
-            here = self.open[k].tag
-            if here == tag or (tag in _HEADINGS and here in _HEADINGS):
-                del self.open[k:]
-                return None
-            if here in SCOPE and not (tag == "table" or tag in SECTIONS or tag == "tr"):
-                break
-            if here == "table" and tag != "table":
-                break
-        if tag == "p":  # an end without a start is an empty paragraph
+        k = self._last(_HEADINGS if tag in _HEADINGS else (tag,))
+        if tag == "table" or tag in SECTIONS or tag == "tr":
+            limit = 0 if tag == "table" else self._last(("table",))
+        else:
+            limit = self._last(SCOPE | LISTS if tag == "li" else SCOPE)
+            if tag not in BLOCKS and tag not in SCOPE and self.blocks:
+                limit = max(limit, self.blocks[-1])  # the end of a phrase doesn't close blocks
+        if k and k >= limit:
+            self._cut(k)
+        elif tag == "p":  # an end without a start is an empty paragraph
             self.start("p", {})
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         return None
 
     def text(self, text: str) -> None:
@@ -188,11 +198,168 @@ class Builder:
         here.children.append(text)
 
 
+_P = frozenset(("p",))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[[^\]]*\])*)\Z")
+_ATTRIBUTE_TEST = re.compile(r"\[\s*([^\s=~^$*|\]]+)\s*(?:([~^$*|]?)=\s*[\"']?([^\"'\]]*?)[\"']?\s*)?\]")
+_FEATURE = re.compile(r"\(\s*([a-z-]+)\s*(?::\s*([\w.-]+)\s*)?\)")
+SCREEN = {"width": 1280, "height": 800}
+
+
+def _declared(text: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a declaration block: (important, value), the last of the more important."""
+    found: dict[str, tuple[bool, str]] = {}
+    for m in _DECLARATION.finditer(text):
+        name, weight = m[1].lower(), bool(m[3])
+        if name not in found or weight >= found[name][0]:
+            found[name] = (weight, m[2].lower())
+    return found
+
+
+def _on_screen(query: str) -> bool:
+    """Whether one of a media query's alternatives holds on the screen assumed."""
+
+    def holds(m: re.Match) -> bool:
+        name, value = m[1], m[2]
+        side = name.removeprefix("min-").removeprefix("max-")
+        if side in SCREEN and value:
+            size = re.match(r"([\d.]+)(px|em|rem)?\Z", value)
+            if not size:
+                return False
+            pixels = float(size[1]) * (16 if size[2] in ("em", "rem") else 1)
+            return SCREEN[side] >= pixels if name.startswith("min-") else SCREEN[side] <= pixels if name.startswith("max-") else SCREEN[side] == pixels
+        return (name, value) in (("orientation", "landscape"), ("prefers-color-scheme", "light"), ("hover", "hover"), ("pointer", "fine"), ("color", None))
+
+    for one in query.lower().split(","):
+        kind = re.match(r"\s*(not|only)?\s*([a-z]+)?", one)
+        yes = kind[2] in (None, "and", "all", "screen") and all(holds(m) for m in _FEATURE.finditer(one))
+        if yes != (kind[1] == "not"):
+            return True
+    return False
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet that apply; blocks of other at-rules are passed over."""
+    text = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+    at, live = 0, [True]
+    for m in re.finditer(r"[{};]", text):
+        lead = text[at : m.start()].strip()
+        if m[0] == "{":
+            at = m.end()
+            if lead.startswith("@"):
+                name, _, rest = lead[1:].partition(" ")
+                live.append(live[-1] and (name.lower() in ("supports", "layer") or (name.lower() == "media" and _on_screen(rest))))
+            else:
+                live.append(live[-1])
+                if live[-1]:
+                    end = text.find("}", at)
+                    yield lead, text[at : end if end >= 0 else len(text)]
+        elif m[0] == "}":
+            at = m.end()
+            if len(live) > 1:
+                live.pop()
+        elif lead.startswith("@"):
+            at = m.end()
+
+
+class Styles:
+    """What style sheets say of display and visibility, found by the parts of their selectors."""
+
+    def __init__(self, sheets: list[str]):
+        self.index: dict[str, list] = defaultdict(list)
+        order = 0
+        for sheet in sheets:
+            for selectors, block in _rules(sheet):
+                said = _declared(block)
+                for selector in selectors.split(",") if said else ():
+                    order += 1
+                    self._add(selector, said, order)
+
+    def _add(self, selector: str, said: dict, order: int) -> None:
+        parts = re.sub(r"\s*>\s*", " > ", selector.strip()).split()
+        compounds, child, step = [], [], False
+        for part in parts:
+            if part == ">":
+                step = True
+                continue
+            m = _COMPOUND.match(part)
+            if not m or not part:
+                return
+            pieces = re.findall(r"[.#][\w-]+|\[[^\]]*\]", m[2])
+            tests = [_ATTRIBUTE_TEST.match(x) for x in pieces if x[0] == "["]
+            if not all(tests):
+                return
+            compounds.append(((m[1] or "*").lower(), frozenset(x[1:] for x in pieces if x[0] == "."), [x[1:] for x in pieces if x[0] == "#"], [(t[1].lower(), t[2], t[3]) for t in tests]))
+            child.append(step)
+            step = False
+        if not compounds or step:
+            return
+        weight = (sum(len(c[2]) for c in compounds), sum(len(c[1]) + len(c[3]) for c in compounds), sum(c[0] != "*" for c in compounds))
+        for k, c in enumerate(compounds):
+            key = f"#{c[2][0]}" if c[2] else f".{min(c[1])}" if c[1] else c[0]
+            self.index[key].append((c, (order, k), child[k], said if k == len(compounds) - 1 else None, (weight, order)))
+
+    def of(self, node: Node, above: frozenset, parent: frozenset) -> tuple[list, frozenset]:
+        """Declarations that meet a node as (weight, said), and the selector parts that it fulfils for what lies in it."""
+        a, met, said = node.attributes, set(), []
+        classes = a.get("class", "").split() if "class" in a else []
+        for key in ("*", node.tag, *(f".{c}" for c in set(classes)), f"#{a['id']}" if "id" in a else ""):
+            for (tag, names, ids, tests), (order, k), child, block, weight in self.index.get(key, ()):
+                if tag not in ("*", node.tag) or not names.issubset(classes) or any(a.get("id") != i for i in ids) or not all(_tested(a, *t) for t in tests):
+                    continue
+                if k and (order, k - 1) not in (parent if child else above):
+                    continue
+                met.add((order, k))
+                if block:
+                    said.append((weight, block))
+        return said, frozenset(met)
+
+
+def _tested(attributes: dict[str, str], name: str, how: str, value: str | None) -> bool:
+    has = attributes.get(name)
+    if has is None or value is None:
+        return has is not None
+    tests = {"": has == value, "~": value in has.split(), "^": bool(value) and has.startswith(value), "$": bool(value) and has.endswith(value), "*": bool(value) and value in has, "|": has == value or has.startswith(value + "-")}
+    return tests[how]
 
 
-def parse(page: str) -> tuple[Node, list[tuple[str, str, str]]]:
-    """The tree, and what style rules hide as (tag, "." or "#" or "", name)."""
+def settle(root: Node, sheets: list[str]) -> list[Node]:
+    """Mark what shows, from the top down; gives the shown tables, outer before inner."""
+    styles, tables, none = Styles(sheets), [], frozenset()
+    stack = [(root, True, none, none, "")]
+    while stack:
+        node, seen, above, parent, within = stack.pop()
+        a, met = node.attributes, none
+        own = within if node.tag not in ("svg", "math") else node.tag
+        if node.tag in UNSEEN or (own == "svg" and node.tag in UNSEEN_SVG) or (own == "math" and node.tag in UNSEEN_MATH) or (node.tag == "object" and "data" in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+            node.shown = False
+            continue
+        display = "none" if "hidden" in a or (node.tag == "dialog" and "open" not in a) else None
+        if a.get("style") or styles.index:
+            said, met = styles.of(node, above, parent) if styles.index else ([], none)
+            best: dict[str, tuple] = {}
+            for weight, block in [*[((0, *w), block) for w, block in said], ((1,), _declared(a.get("style", "")))]:
+                for name, (important, value) in block.items():
+                    if name not in best or best[name][0] <= (important, weight):
+                        best[name] = ((important, weight), value)
+            if "display" in best:
+                display = best["display"][1]
+            if "visibility" in best and best["visibility"][1] != "inherit":
+                seen = best["visibility"][1] not in ("hidden", "collapse")
+        node.shown, node.visible = display != "none", seen
+        node.display = display if display not in ("inherit", "initial", "unset", "revert") else None
+        if not node.shown:
+            continue
+        if node.tag == "table":
+            tables.append(node)
+        below = above if met <= above else above | met
+        stack.extend((c, seen, below, met, own) for c in reversed(node.children) if not isinstance(c, str))
+    return tables
+
+
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """The tree with what shows marked, and its tables, outer before inner."""
     builder = Builder()
     for kind, value, attributes in tokens(page):
         if kind == "text":
@@ -201,30 +368,14 @@ def parse(page: str) -> tuple[Node, list[tuple[str, str, str]]]:
             builder.start(value, attributes)
         else:
             builder.end(value)
-    hidden = []
-    for sheet in builder.styles:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _HIDES.search(m[2]):
-                for one in m[1].split(","):
-                    if (s := _SIMPLE.match(one.strip())) and one.strip():
-                        hidden.append(((s[1] or "").lower(), s[2] or "", s[3] or ""))
-    return builder.root, hidden
-
-
-def _shown(node: Node, hidden: list[tuple[str, str, str]]) -> bool:
-    if node.tag in UNSEEN:
-        return False
-    a = node.attributes
-    if not a and not hidden:
-        return node.tag != "dialog"
-    if "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-        return False
-    if "style" in a and _HIDES.search(a["style"]):
-        return False
-    for tag, kind, name in hidden:
-        if (not tag or tag == node.tag) and (not kind or (name in a.get("class", "").split() if kind == "." else a.get("id") == name)):
-            return False
-    return True
+    return builder.root, settle(builder.root, builder.styles)
+
+
+def columns_of(text: str) -> int:
+    """Columns that a line takes: wide characters two, marks none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class Flow:
@@ -234,9 +385,12 @@ class Flow:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap, self.space, self.filled, self.pre = 0, False, False, 0
-        self.indents: list[str] = []
+        self.indents = [""]
         self.marker = ""
 
+    def indent(self, by: str) -> None:
+        self.indents.append(self.indents[-1] + by if len(self.indents) <= INDENTS else self.indents[-1])
+
     def text(self, text: str) -> None:
         if self.pre:
             for k, part in enumerate(text.replace("\r\n", "\n").split("\n")):
@@ -259,7 +413,7 @@ class Flow:
         if not self.filled:
             if self.gap > 1 and self.lines:
                 self.lines.append("")
-            indent = "".join(self.indents)
+            indent = self.indents[-1]
             if self.marker:
                 indent = indent[: len(indent) - len(self.marker)] + self.marker
                 self.marker = ""
@@ -292,17 +446,17 @@ def _number(value: str | None, least: int, most: int) -> int:
     return min(max(int(m[1]), least), most) if m else least
 
 
-def _grid(table: Node, hidden: list, depth: int) -> tuple[list[str], list[list[tuple[int, list[str]]]]]:
-    """Captions, and rows of (column, lines of the cell); cells that span rows keep their columns free below."""
+def _grid(table: Node) -> tuple[list[str], list[list[tuple[int, int, list[str]]]]]:
+    """Captions, and rows of (column, columns spanned, lines of the cell); cells that span rows keep their columns free below."""
     captions, rows, stack, busy = [], [], [iter(table.children)], {}
     while stack:
         node = next(stack[-1], None)
         if node is None:
             stack.pop()
         elif isinstance(node, str):
-            if node.strip():
+            if node.strip() and table.visible:
                 captions.append(" ".join(node.split()))
-        elif not _shown(node, hidden) or node.tag in ("colgroup", "col"):
+        elif not node.shown or node.tag in ("colgroup", "col"):
             continue
         elif node.tag in SECTIONS:
             stack.append(iter(node.children))
@@ -312,14 +466,15 @@ def _grid(table: Node, hidden: list, depth: int) -> tuple[list[str], list[list[t
                 if isinstance(cell, str):
                     if not cell.strip():
                         continue
-                    node2 = Node("td", {})
-                    node2.children.append(cell)
-                    cell = node2
-                if not _shown(cell, hidden):
+                    loose = Node("td", {})
+                    loose.visible = node.visible
+                    loose.children.append(cell)
+                    cell = loose
+                if not cell.shown:
                     continue
                 while busy.get(column, 0):
                     column += 1
-                lines = render(cell, hidden, depth + 1).split("\n")
+                lines = render(cell).split("\n")
                 wide = _number(cell.attributes.get("colspan"), 1, 1000)
                 tall = _number(cell.attributes.get("rowspan"), 1, 10_000)
                 row.append((column, wide, lines))
@@ -329,70 +484,81 @@ def _grid(table: Node, hidden: list, depth: int) -> tuple[list[str], list[list[t
             rows.append(row)
             busy = {c: n - 1 for c, n in busy.items() if n > 1}
         else:
-            shown = render(node, hidden, depth + 1)
+            shown = render(node)
             if shown:
                 captions += shown.split("\n")
     return captions, rows
 
 
-def _table(table: Node, hidden: list, depth: int) -> list[str]:
-    """Lines of a table: columns as wide as their cells, two spaces between them."""
-    lines, rows = _grid(table, hidden, depth)
+def _table(table: Node) -> list[str]:
+    """Lines of a table: columns as wide as their widest cell, two spaces between them.
+
+    A cell over several columns pushes no column apart; where it runs into the
+    next cell, that one follows after two spaces.
+    """
+    lines, rows = _grid(table)
     width: dict[int, int] = {}
     for row in rows:
         for column, wide, cell in row:
             if wide == 1:
-                width[column] = min(WIDEST, max([width.get(column, 0), *map(len, cell)]))
-    columns = sorted({c for row in rows for column, wide, _ in row for c in range(column, column + wide) if wide == 1 or c == column})
+                width[column] = max([width.get(column, 0), *map(columns_of, cell)])
     begins, at = {}, 0
-    for c in columns:
+    for c in sorted(width.keys() | {column for row in rows for column, _, _ in row}):
         begins[c] = at
         at += width.get(c, 0) + (2 if width.get(c, 0) else 0)
     for row in rows:
         for k in range(max((len(cell) for _, _, cell in row), default=0)):
-            out = ""
+            out, at = [], 0
             for column, _, cell in row:
                 if k < len(cell) and cell[k]:
-                    out = out.ljust(begins[column]) if len(out) < begins[column] or not out else out + "  "
-                    out += cell[k]
-            lines.append(out.rstrip())
+                    pad = begins[column] - at if at <= begins[column] else 2
+                    out += " " * pad, cell[k]
+                    at += pad + columns_of(cell[k])
+            lines.append("".join(out).rstrip())
     return lines
 
 
-def render(root: Node, hidden: list[tuple[str, str, str]], depth: int = 0) -> str:
-    """A tree's visible text."""
+_INLINE = frozenset("inline inline-block inline-flex inline-grid contents".split())
+_BLOCK = frozenset("block flex grid list-item flow-root".split())
+
+
+def render(root: Node) -> str:
+    """A tree's visible text; tables in it have their lines already."""
     flow = Flow()
-    stack: list[tuple] = [("in", root)]
+    stack: list[tuple] = [("in", root, root.visible)]
     counters: list[int | None] = []
     while stack:
-        what, node = stack.pop()
+        what, node, seen = stack.pop()
         if isinstance(node, str):
-            flow.text(node)
+            if seen:
+                flow.text(node)
             continue
         tag = node.tag
+        blocky = (tag in BLOCKS or tag in ("tr", "caption") or node.display in _BLOCK) and node.display not in _INLINE
         if what == "in":
-            if node is not root and not _shown(node, hidden):
+            if node is not root and not node.shown:
                 continue
+            seen = node.visible
             if tag == "br":
                 flow.newline()
                 continue
             if tag == "wbr":
                 continue
             if tag == "input":
-                if node.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
+                if seen and node.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
                     flow.text(" " + node.attributes.get("value", "") + " ")
                 continue
-            if tag == "table" and node is not root and depth < DEEPEST:
+            if node.lines is not None and node is not root:
                 flow.block(2)
                 flow.pre += 1
-                for k, line in enumerate(_table(node, hidden, depth)):
+                for k, line in enumerate(node.lines):
                     if k:
                         flow.newline()
                     flow.text(line)
                 flow.pre -= 1
                 flow.block(2)
                 continue
-            if tag in BLOCKS or tag in ("tr", "caption"):
+            if blocky:
                 # A list inside a list, and a paragraph that begins an item, stand close.
                 flow.block(2 if tag in SPACED and not (tag in LISTS and counters) and not flow.marker else 1)
             elif tag in CELLS and node is not root:
@@ -407,13 +573,13 @@ def render(root: Node, hidden: list[tuple[str, str, str]], depth: int = 0) -> st
                     counters[-1] += 1
                 else:
                     mark = "- "
-                flow.indents.append(" " * len(mark))
-                flow.marker = mark
+                flow.indent(" " * len(mark) if blocky else "")
+                flow.marker = mark if seen and blocky else ""
             elif tag in ("dd", "blockquote"):
-                flow.indents.append("  ")
+                flow.indent("  ")
             elif tag in ("pre", "listing", "textarea", "xmp"):
                 flow.pre += 1
-            elif tag == "q":
+            elif tag == "q" and seen:
                 flow.text("“")
             children = node.children
             if tag == "details" and "open" not in node.attributes:
@@ -421,37 +587,44 @@ def render(root: Node, hidden: list[tuple[str, str, str]], depth: int = 0) -> st
             if tag in ("pre", "listing", "textarea") and children and isinstance(children[0], str):
                 first = children[0][1:] if children[0].startswith("\n") else children[0]
                 children = [first, *children[1:]]
-            stack.append(("out", node))
-            stack.extend(("in", c) for c in reversed(children))
+            stack.append(("out", node, seen))
+            stack.extend(("in", c, seen) for c in reversed(children))
             continue
         if tag in LISTS:
             counters.pop()
         elif tag == "li":
             flow.indents.pop()
-            flow.block(1)
+            if blocky:
+                flow.block(1)
             flow.marker = ""
         elif tag in ("dd", "blockquote"):
             flow.block(1)
             flow.indents.pop()
         elif tag in ("pre", "listing", "textarea", "xmp"):
             flow.pre -= 1
-        elif tag == "q":
+        elif tag == "q" and seen:
             flow.text("”")
-        if tag in BLOCKS or tag in ("tr", "caption"):
+        if blocky:
             flow.block(2 if tag in SPACED and not (tag in LISTS and counters) else 1)
     return flow.done()
 
 
 def text_of(page: str | None) -> str:
     """A page's visible text; null and empty pages have none."""
-    return render(*parse(page.replace("\0", "�"))) if page else ""
+    if not page:
+        return ""
+    root, tables = parse(page.replace("\0", "\ufffd"))
+    for table in reversed(tables):
+        table.lines = _table(table)
+    return render(root)
 
 
 def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text, n_chars) for each page, whole.
 
     A null or empty html has an empty text.  Ids may be null or repeat; each row
-    is rendered.  An empty table gives an empty one.  Other columns are not read.
+    is rendered, in time that grows with the page; a table's lines are as wide as
+    its widest cells, however wide.  An empty table gives an empty one.  Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
