@@ -4,16 +4,18 @@ Vectors are given one more coordinate so that all have the length M of the
 longest, and queries are scaled to M: then the largest inner product is the
 smallest distance.  Projected on m Gaussian directions, a squared distance d2
 becomes d2 times a chi-square variable of m degrees.  Projected neighbours are
-taken up in order of their projected distance r2 and verified on the original
-vectors; once r2 / d2(k), for the k-th best distance so far, exceeds the
-chi-square quantile at ``sure``, a better vector would have come up already with
-at least that probability, and the search ends.
+taken up in order of their projected distance r2, a leaf of the kd-tree at a
+time, and verified on the original vectors where they pass the test themselves;
+once r2 / d2(k), for the k-th best distance so far, exceeds the chi-square
+quantile at ``sure``, a better vector would have come up already with at least
+that probability, and the search ends.  Queries that stand before the same leaf
+are verified together.
 
 Across the cluster: the upper levels of the kd-tree are cut on a bounded sample
 (``SAMPLE`` rows), every row is put in its block, and blocks that outgrow a task
-are dealt out in pieces.  A query's k-th best in the sample bounds its distance
-from above, so it only goes to blocks whose box passes the same test; each block
-builds the lower levels over its own rows.
+are dealt out in pieces, queries in parts of ``PART``.  A query's k-th best in
+the sample bounds its distance from above, so it only goes to blocks whose box
+passes the same test; each block builds the lower levels over its own rows.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 
 from heliogable.llm import store
 
-M, SURE, SEED = 8, 0.98, 31
-#: Rows of the sample; rows that a block should have; rows of a leaf.
-SAMPLE, BLOCK, LEAF = 10_000, 16_384, 256
+#: Directions and certainty: of isotropic vectors of 64 dimensions fewer directions leave more rows to verify at the same recall.
+M, SURE, SEED = 24, 0.94, 31
+#: Rows of the sample; rows that a block should have; rows of a leaf; queries of a task.
+SAMPLE, BLOCK, LEAF, PART = 10_000, 16_384, 256, 32_768
 #: Blocks at most; beyond, blocks get larger and are dealt out in pieces.
 MOST_BLOCKS = 1 << 15
 
@@ -117,10 +120,14 @@ class Space:
         return np.maximum(2 * self.longest**2 - 2 * self.longest * score / length, 1e-12 * self.longest**2)
 
 
-def _gap(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Squared distance of a point from boxes."""
-    off = np.maximum(np.maximum(low - point, point - high), 0)
-    return (off * off).sum(-1)
+def _gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of points from boxes."""
+    out = np.zeros((len(points), len(low)))
+    for i in range(points.shape[1]):
+        at = points[:, i, None]
+        off = np.maximum(np.maximum(low[None, :, i] - at, at - high[None, :, i]), 0)
+        out += off * off
+    return out
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -134,32 +141,60 @@ _FOUND = "query_id long, vec_id long, score double"
 _FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def search(space: Space, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, k: int, limit: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query, its k best of these rows, by the incremental search."""
+class Best:
+    """The k best of each query so far; equal scores go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.at, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.last = np.full(queries, -np.inf)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """More finds of the queries ``at``."""
+        touched = np.isin(self.at, at)
+        at, ids, scores = (np.concatenate((old[touched], new)) for old, new in ((self.at, at), (self.ids, ids), (self.scores, scores)))
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        full = rank == self.k - 1
+        self.last[at[full]] = scores[full]
+        kept = rank < self.k
+        self.at, self.ids, self.scores = (np.concatenate((old[~touched], new[kept])) for old, new in ((self.at, at), (self.ids, ids), (self.scores, scores)))
+
+
+def search(space: Space, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, k: int, limit: float, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k best of these rows, by the incremental search; ``tally`` collects how many rows were verified."""
     points = space.rows(x)
     tree = Tree(points, LEAF)
     ids, x, points = ids[tree.order], x[tree.order], points[tree.order]
     low = np.stack([points[a:b].min(0) for a, b in tree.leaves])
     high = np.stack([points[a:b].max(0) for a, b in tree.leaves])
-    lengths = np.sqrt((q * q).sum(1))
-    for n, at in enumerate(space.queries(q)):
-        gaps = _gap(at, low, high)
-        best_id, best, bound = np.zeros(0, np.int64), np.zeros(0), bounds[n]
-        for leaf in np.argsort(gaps, kind="stable"):
-            if gaps[leaf] > limit * bound:
-                break
-            a, b = tree.leaves[leaf]
-            off = points[a:b] - at
-            near = a + np.flatnonzero(((off * off).sum(1) <= limit * bound) & (ids[a:b] != qids[n]))
-            if not len(near):
-                continue
-            best_id, best = np.concatenate((best_id, ids[near])), np.concatenate((best, x[near] @ q[n]))
-            order = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[order], best[order]
-            if len(best) == k:
-                bound = min(bound, float(space.squared(best[-1], lengths[n])))
-        if len(best):
-            yield int(qids[n]), best_id, best
+    lengths, at, best, bounds = np.sqrt((q * q).sum(1)), space.queries(q), Best(len(q), k), bounds.copy()
+    gaps, sizes, own = _gaps(at, low, high), (points * points).sum(1), (at * at).sum(1)
+    order, slack = np.argsort(gaps, axis=1, kind="stable"), 1e-12 * space.longest * lengths
+    going = np.arange(len(q))
+    for step in range(len(tree.leaves)):
+        leaf = order[going, step]
+        going = going[gaps[going, leaf] <= limit * bounds[going]]
+        if not len(going):
+            break
+        leaf = order[going, step]
+        by = np.argsort(leaf, kind="stable")
+        found: list[tuple] = []
+        for group in np.split(going[by], np.flatnonzero(np.diff(leaf[by])) + 1):
+            a, b = tree.leaves[order[group[0], step]]
+            projected = own[group, None] + sizes[None, a:b] - 2 * at[group] @ points[a:b].T
+            near = (projected <= limit * bounds[group, None]) & (ids[None, a:b] != qids[group, None])
+            if tally is not None:
+                tally.append(int(near.sum()))
+            row, column = np.nonzero(near & (q[group] @ x[a:b].T >= best.last[group, None] - slack[group, None]))
+            # A product of matrices may round like rows apart; what is kept is summed row by row, so that copies tie.
+            found.append((group[row], ids[a + column], (x[a + column] * q[group[row]]).sum(1)))
+        new = tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        if len(new[0]):
+            best.add(*new)
+            full = np.isfinite(best.last[going])
+            bounds[going[full]] = np.minimum(bounds[going[full]], space.squared(best.last[going[full]], lengths[going[full]]))
+    return qids[best.at], best.ids, best.scores
 
 
 def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sure: float = SURE) -> DataFrame:
@@ -190,47 +225,45 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     sample_ids, sample_x = sample["id"].to_numpy(), _vectors(sample["v"])
     blocks = min(MOST_BLOCKS, -(-n // BLOCK))
     tree = Tree(space.rows(sample_x), -(-len(sample_ids) // blocks))
-    box = ", ".join(f"p{i} double" for i in range(M))
-
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 points = space.rows(_vectors(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.place(points)), *[pa.array(points[:, i]) for i in range(M)]], names=["id", "v", "asks", "block", *[f"p{i}" for i in range(M)]])
+                place = pa.ListArray.from_arrays(pa.array(np.arange(len(points) + 1) * M, pa.int32()), pa.array(points.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.place(points)), place], names=["id", "v", "asks", "block", "p"])
 
-    index = store.keep(rows.select("id", "v", "asks").mapInArrow(assign, f"id long, v array<double>, asks boolean, block int, {box}"), f"{place}/index")
-    boxes = index.groupBy("block").agg(F.count("*").alias("n"), *[F.min(f"p{i}").alias(f"l{i}") for i in range(M)], *[F.max(f"p{i}").alias(f"h{i}") for i in range(M)]).orderBy("block").toPandas()
-    low, high = (boxes[[f"{c}{i}" for i in range(M)]].to_numpy() for c in "lh")
-    numbers, pieces = boxes["block"].tolist(), [-(-c // (2 * BLOCK)) for c in boxes["n"].tolist()]
+    index = store.keep(rows.select("id", "v", "asks").mapInArrow(assign, "id long, v array<double>, asks boolean, block int, p array<double>"), f"{place}/index")
+    side = lambda f, c: F.array(*[f(F.get("p", F.lit(i))) for i in range(M)]).alias(c)
+    boxes = index.groupBy("block").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked"), side(F.min, "low"), side(F.max, "high")).orderBy("block").collect()
+    numbers, low, high = np.array([r["block"] for r in boxes]), np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes])
+    pieces, parts = np.array([-(-r["n"] // (2 * BLOCK)) for r in boxes]), max(1, -(-sum(r["asked"] for r in boxes) // PART))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, q = batch.column("id").to_numpy(), _vectors(batch.column("v"))
-            if not len(ids):
-                continue
-            out, points, lengths = [], space.queries(q), np.sqrt((q * q).sum(1))
-            for i, at in enumerate(points):
-                score = sample_x[sample_ids != ids[i]] @ q[i]
-                bound = float(space.squared(np.partition(score, len(score) - k)[len(score) - k], lengths[i])) if len(score) >= k else float("inf")
-                for b in np.flatnonzero(_gap(at, low, high) <= limit * bound):
-                    out += [(i, numbers[b], p, bound) for p in range(pieces[b])]
-            take = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.float64())], names=["id", "v", "block", "piece", "bound"])
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                batch = whole.slice(a, 256)
+                q = _vectors(batch.column("v"))
+                score = q @ sample_x.T
+                score[batch.column("id").to_numpy()[:, None] == sample_ids[None, :]] = -np.inf
+                last = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
+                known = np.isfinite(last)
+                bound = np.where(known, space.squared(np.where(known, last, 0), np.sqrt((q * q).sum(1))), np.inf)
+                row, at = np.nonzero(_gaps(space.queries(q), low, high) <= limit * bound[:, None])
+                times = pieces[at]
+                row, at, piece = np.repeat(row, times), np.repeat(at, times), np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(numbers[at], pa.int32()), pa.array(piece, pa.int32()), pa.array(bound[row])], names=["id", "v", "block", "piece", "bound"])
 
     def look(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if len(candidates) and len(asked):
-            for qid, ids, scores in search(space, candidates["id"].to_numpy(), _vectors(candidates["v"]), asked["id"].to_numpy(), _vectors(asked["v"]), asked["bound"].to_numpy(), k, limit):
-                out[0].append(np.full(len(ids), qid))
-                out[1].append(ids)
-                out[2].append(scores)
-        return pa.Table.from_arrays([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], schema=_FOUND_ARROW)
-
-    piece = F.element_at(F.array(*[F.lit(p) for p in pieces]), F.array_position(F.array(*[F.lit(b) for b in numbers]), F.col("block")).cast("int")) if max(pieces) > 1 else F.lit(1)
-    candidates = index.select("id", "v", "block", F.pmod(F.xxhash64("id"), piece).cast("int").alias("piece"))
-    asked = index.filter("asks").select("id", "v").dropDuplicates(["id"]).mapInArrow(route, "id long, v array<double>, block int, piece int, bound double")
-    tasks = max(store.partitions(spark), sum(pieces))
-    keys = ("block", "piece")
+            out = search(space, candidates["id"].to_numpy(), _vectors(candidates["v"]), asked["id"].to_numpy(), _vectors(asked["v"]), asked["bound"].to_numpy(), k, limit)
+        return pa.Table.from_arrays([pa.array(o) for o in out], schema=_FOUND_ARROW)
+
+    # Blocks are at most MOST_BLOCKS, so their pieces fit a broadcast.
+    dealt = spark.createDataFrame([(int(b), int(p)) for b, p in zip(numbers, pieces, strict=True)], "block int, pieces int")
+    candidates = index.select("id", "v", "block").join(F.broadcast(dealt), "block").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).drop("pieces").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = index.filter("asks").select("id", "v").dropDuplicates(["id"]).mapInArrow(route, "id long, v array<double>, block int, piece int, bound double").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    tasks, keys = max(store.partitions(spark), int(pieces.sum()) * parts), ("block", "piece", "part")
     found = candidates.repartition(tasks, *keys).groupBy(*keys).cogroup(asked.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(look, _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -152,6 +152,30 @@ def test_neighbours_recall(spark, monkeypatch, spread):
     assert np.mean([len(got[q] & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
 
 
+@needs_data
+def test_neighbours_share():
+    """Of the table's isotropic vectors, what the search verifies in one block, and what it finds."""
+    import pyarrow.parquet as pq
+
+    from heliogable.llm import neighbours
+
+    v = [r for r in pq.read_table(DATA / "embeddings.parquet").to_pylist() if r["embedding"]]
+    base = np.array([r["embedding"] for r in v], np.float64)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([base, rng.standard_normal((8000, base.shape[1])) / base.shape[1] ** 0.5])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 80)
+    tally: list[int] = []
+    q, found, _ = neighbours.search(neighbours.Space(x.shape[1], 1.0), ids, x, asked, x[asked], np.full(len(asked), np.inf), 20, quantile(SURE, neighbours.M), tally)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    recall = np.mean([len(set(found[q == a]) & set(best[k])) / 20 for k, a in enumerate(asked)])
+    share = sum(tally) / (len(asked) * (len(x) - 1))
+    print(f"recall {recall:.3f}, verified {share:.3f}")
+    assert recall >= 0.9 and share < 0.55
+
+
 def test_stopping():
     assert chi_square(quantile(SURE, 8), 8) == pytest.approx(SURE)
     draws = (np.random.default_rng(0).standard_normal((200_000, 8)) ** 2).sum(1)
