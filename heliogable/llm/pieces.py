@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 800_000
 #: Ids in an output batch.
 BATCH_IDS = 1 << 20
 UNIGRAM, BPE = 1, 2
@@ -67,98 +69,210 @@ class Model:
                 self.ids[p.piece] = i
             self.written.append({"byte": lambda p=p: bytes([int(p.piece[1:-1], 16)]), "control": lambda: b"", "unknown": lambda: " ⁇ ".encode()}.get(kind, lambda p=p: p.piece.replace(MARK, " ").encode())())
         self.names = {i: p for p, i in self.ids.items()}
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
+        #: Ends of pieces: their ids, -1 for those that are no pieces themselves.
+        self.tails = {p[k:]: self.ids.get(p[k:], -1) for p in self.ids for k in range(len(p))}
         self.worst = min(self.scores) - 10
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        marks = {p for p in self.ids if p.startswith(MARK + MARK)}
+        self.marks_last = all(not p.strip(MARK) for p in marks) and max((self.scores[self.ids[p]] for p in marks), default=-np.inf) < min((self.scores[i] for p, i in self.ids.items() if len(p) > 1 and p not in marks), default=np.inf)
+        self.apart: dict[int, bool] = {}
+        self.spines: dict[int, tuple[list, list] | None] = {}
+        self.runs: dict[int, list[int]] = {}
+        self.marked: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
-        """BPE by its definition: merge the pair whose piece scores highest, the leftmost of equals, until none is left."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _stays(self, left: int, right: int) -> bool:
-        """Whether BPE leaves two pieces apart; left is -1 at the start and after a character without a piece."""
-        found = self.apart.get((left, right))
-        if found is None:
-            pair = [self.names[right]] if left < 0 else [self.names[left], self.names[right]]
-            found = self.apart[left, right] = self.merged("".join(pair)) == pair
-        return found
-
-    def _cell(self, word: str, end: int, cells: list) -> tuple[int, int, float]:
-        """(piece or -1, where it begins, score) of the segmentation of word[:end]."""
-        ids, tails, best = self.ids, self.tails, None
-        for begin in range(end - 1, -1, -1):
-            part = word[begin:end]
-            if part not in tails:
-                break
-            piece = ids.get(part)
-            if piece is None:
+        """BPE by its definition: merge the pair whose piece scores highest, the leftmost of equals, until none is left.
+
+        A heap holds the pairs that are there and those that were; a pair counts if both its sides are still as long as when it came in.
+        """
+        size, after, before = [1] * len(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = after[a] if a >= 0 else len(text)
+            if b < len(text) and (i := self.ids.get(text[a : b + size[b]])) is not None:
+                heappush(heap, (-self.scores[i], a, size[a], size[b]))
+
+        for a in range(len(text) - 1):
+            offer(a)
+        while heap:
+            _, a, left, right = heappop(heap)
+            b = after[a]
+            if size[a] != left or b >= len(text) or size[b] != right:
                 continue
-            if self.kind == BPE:
-                if self._stays(cells[begin][0], piece):
-                    return piece, begin, 0.0
-            else:
-                score = cells[begin][2] + self.scores[piece]
-                if best is None or score > best[2]:
-                    best = piece, begin, score
-        if word[end - 1] not in ids:  # bytes, which nothing merges with
-            score = cells[end - 1][2] + self.worst
-            if best is None or score > best[2]:
-                best = -1, end - 1, score
-        if best is None:
-            raise ValueError(f"no segmentation of {word[:end]!r}")
-        return best
-
-    def _pieces(self, word: str, cells: list) -> Iterator[int]:
-        out, end = [], len(word)
-        while end:
-            piece, begin, _ = cells[end]
-            out.append([piece] if piece >= 0 else [self.byte[b] for b in word[begin:end].encode()])
-            end = begin
-        for ids in reversed(out):
-            yield from ids
+            size[a], size[b], after[a], self.cut = left + right, 0, after[b], b
+            if after[b] < len(text):
+                before[after[b]] = a
+            offer(before[a])
+            offer(a)
+        return [text[a : a + n] for a, n in enumerate(size) if n]
+
+    def _as_ids(self, parts: list[str]) -> list[int]:
+        return [i for p in parts for i in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()])]
+
+    def _spines(self, piece: int) -> tuple[list, list] | None:
+        """What stands at a piece's right and left end while it forms, with the score of the merge that ends it; None if BPE makes other pieces of its text, or out of the order of scores."""
+        if piece not in self.spines:
+            name, ends = self.names[piece], None
+            if self.merged(name) == [name]:
+                ends = ([(name, -np.inf)], [(name, -np.inf)])
+                if len(name) > 1:
+                    score, cut = self.scores[piece], self.cut
+                    for side, part in ((0, name[cut:]), (1, name[:cut])):
+                        below = self._spines(self.ids[part]) if part in self.ids else ([(part, -np.inf)],) * 2
+                        if below is None or (len(part) > 1 and self.scores[self.ids[part]] < score):
+                            ends = None
+                            break
+                        ends[side].extend([(part, score), *below[side][1:]])
+            self.spines[piece] = ends
+        return self.spines[piece]
 
-    def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Distinct words in sorted order, each with its ids."""
-        cells, before = [(-1, 0, 0.0)], ""
-        for word in sorted(words):
-            if self.kind == BPE and word.startswith(MARK + MARK):
-                # Pieces of marks alone tie in score, so their segmentation isn't one of prefixes.
-                yield word, [i for p in self.merged(word) for i in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()])]
-                continue
-            same = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
+    def _stays(self, left: int, right: int) -> bool:
+        """Whether BPE leaves two pieces apart; left is -1 at the start and after a character without a piece.
+
+        They merge if a symbol at the end of the one and a symbol at the start of
+        the other, there at the same time, form a piece that scores higher than
+        what ends either (of equals the leftmost goes first).
+        """
+        ends = self._spines(right)
+        if left < 0 or ends is None:
+            return ends is not None
+        before = self._spines(left)
+        if before is None:
+            return False
+        for x, x_ends in before[0]:
+            for y, y_ends in ends[1]:
+                i = self.ids.get(x + y)
+                if i is not None and self.scores[i] > x_ends and self.scores[i] >= y_ends:
+                    return False
+        return True
+
+    def _cells(self, word: str, piece: list[int], begins: list[int], score: list[float]) -> None:
+        """Append the cells of the prefixes of a word that are not there yet: last piece or -1, where it begins, score."""
+        tails, apart, scores, kind = self.tails, self.apart, self.scores, self.kind
+        for end in range(len(piece), len(word) + 1):
+            best, begin = None, end - 1
+            while begin >= 0:
+                p = tails.get(word[begin:end])
+                if p is None:
                     break
+                if p >= 0:
+                    if kind == BPE:
+                        key = piece[begin] << 20 | p
+                        stays = apart.get(key)
+                        if stays is None:
+                            stays = apart[key] = self._stays(piece[begin], p)
+                        if stays:
+                            best = p, begin, 0.0
+                            break
+                    elif best is None or score[begin] + scores[p] > best[2]:
+                        best = p, begin, score[begin] + scores[p]
+                begin -= 1
+            if kind != BPE or best is None:
+                if tails.get(word[end - 1], -1) < 0:  # bytes, which nothing merges with
+                    if best is None or score[end - 1] + self.worst > best[2]:
+                        best = -1, end - 1, score[end - 1] + self.worst
+                elif best is None:
+                    raise ValueError(f"no segmentation of {word[:end]!r}")
+            piece.append(best[0])
+            begins.append(best[1])
+            score.append(best[2])
+
+    def _forward(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Words in sorted order, each with its ids, by the cells of their trie."""
+        piece, begins, score, before = [-1], [0], [0.0], ""
+        for word in sorted(words):
+            same, least = 0, min(len(before), len(word))
+            while same < least and before[same] == word[same]:
                 same += 1
-            del cells[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                cells.append(self._cell(word, end, cells))
-            before = word
-            yield word, list(self._pieces(word, cells))
+            del piece[same + 1 :], begins[same + 1 :], score[same + 1 :]
+            self._cells(word, piece, begins, score)
+            before, out, end = word, [], len(word)
+            while end:
+                begin = begins[end]
+                if piece[end] >= 0:
+                    out.append(piece[end])
+                else:
+                    out += [self.byte[b] for b in reversed(word[begin:end].encode())]
+                end = begin
+            out.reverse()
+            yield word, out
+
+    def _run_of_marks(self, n: int) -> list[int]:
+        if n not in self.runs:
+            self.runs[n] = self._as_ids(self.merged(MARK * n))
+        return self.runs[n]
+
+    def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Distinct words, each with its ids.
+
+        Of several marks in front of a BPE word only the last can join the word,
+        and pieces of marks alone score lowest, so they form after everything
+        else: the word with one mark goes through the trie, and the other marks
+        (with that one, if it stayed alone) are a run of their own.
+        """
+        if self.kind != BPE:
+            yield from self._forward(words)
+            return
+        runs: dict[str, list[tuple[int, str]]] = {}
+        plain = set()
+        for word in words:
+            if word.startswith(MARK + MARK):
+                body = word.lstrip(MARK)
+                if not body:
+                    yield word, self._run_of_marks(len(word))
+                elif self.marks_last:
+                    runs.setdefault(MARK + body, []).append((len(word) - len(body), word))
+                else:
+                    yield word, self._as_ids(self.merged(word))
+            else:
+                plain.add(word)
+        lone = self.ids.get(MARK, -1)
+        for word, ids in self._forward(plain | runs.keys()):
+            if word in plain:
+                yield word, ids
+            for n, whole in runs.get(word, ()):
+                yield whole, self._run_of_marks(n) + ids[1:] if ids[0] == lone else self._run_of_marks(n - 1) + ids
+
+    def _learn(self, marked: set[str], others: set[str]) -> None:
+        """Remember the ids of words, forgetting others where they would be too many."""
+        if len(self.marked) + len(self.others) + len(marked) + len(others) > REMEMBER:
+            self.marked, self.others = {}, {}
+        new = {MARK + w for w in marked - self.marked.keys()}
+        rest = others - self.others.keys()
+        for word, ids in self.walk([*(new | rest)]):
+            held = array("i", ids).tobytes()
+            if word in new:
+                self.marked[word[1:]] = held
+            if word in rest:
+                self.others[word] = held
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for a in range(0, len(texts), 256):
-            parts = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[a : a + 256]]
-            new = {w for p in parts for w in p}
-            if len(self.known) + len(new - self.known.keys()) > REMEMBER:
-                self.known = {}
-            for word, ids in self.walk(list(new - self.known.keys())):
-                self.known[word] = np.array(ids, "<i4").tobytes()
-            known = self.known.__getitem__
-            for p in parts:
-                yield np.frombuffer(b"".join(map(known, p)), "<i4")
+        for a in range(0, len(texts), 1024):
+            # A line's words after its first stand behind one mark each, unless there are more spaces.
+            marked: set[str] = set()
+            others = {"\n"}
+            cut: list[list[tuple[list[str], list[str]]]] = []
+            for text in texts[a : a + 1024]:
+                own, odd_mark = [], MARK in text
+                for k, chunks in enumerate(line.split(" ") for line in text.split("\n")) if text else ():
+                    if "" in chunks or odd_mark:
+                        odd = _WORD.findall((MARK if k == 0 else "") + " ".join(chunks).replace(" ", MARK))
+                        others.update(odd)
+                        own.append((odd, []))
+                    elif k:
+                        others.add(chunks[0])
+                        marked.update(chunks[1:])
+                        own.append((chunks[:1], chunks[1:]))
+                    else:
+                        marked.update(chunks)
+                        own.append(([], chunks))
+                cut.append(own)
+            self._learn(marked, others)
+            of, one = self.others.__getitem__, self.marked.__getitem__
+            for own in cut:
+                yield np.frombuffer(of("\n").join([b"".join([*map(of, odd), *map(one, chunks)]) for odd, chunks in own]), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: marks are spaces, the one in front goes; bytes that are no UTF-8 become U+FFFD."""

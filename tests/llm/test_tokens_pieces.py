@@ -97,21 +97,53 @@ def test_pieces_as_the_library(texts):
 def test_pieces_share_cells(model):
     """Words of one walk need as many new cells as their trie has nodes."""
     made = []
-    cell = model._cell
-    model._cell = lambda word, end, cells: made.append(word[:end]) or cell(word, end, cells)
+    cells = model._cells
+
+    def count(word, piece, begins, score):
+        made.extend(word[:end] for end in range(len(piece), len(word) + 1))
+        cells(word, piece, begins, score)
+
+    model._cells = count
     try:
-        words = [MARK + w for w in ("the", "them", "then", "thesis", "a")]
-        list(model.walk(words))
+        words = [MARK + w for w in ("the", "them", "then", "thesis", "a")] + [MARK * 3 + "the", MARK * 9 + "them"]
+        assert len(list(model.walk(words))) == len(words)
     finally:
-        del model._cell
-    assert len(made) == len(set(made)) == len({w[:k] for w in words for k in range(1, len(w) + 1)})
+        del model._cells
+    assert len(made) == len(set(made)) == len({w[:k] for w in words[:5] for k in range(1, len(w) + 1)})
+
+
+def test_marks_in_front(model):
+    """Runs of marks and words behind them, against the library and the definition."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    words = ["the", "x", "日本", "return", "é", "0x", ".", "zzz", "🙂a", "Straße", "ing", "self"]
+    texts = [" " * n + w for n in range(40) for w in words] + [f"{w}{' ' * n}{w}\n{' ' * n}{w}" for n in range(18) for w in words] + [" " * n for n in range(70)]
+    assert model.marks_last and [x.tolist() for x in model.encode(texts)] == library.encode(texts)
+    for w in words:
+        for n in (2, 3, 7):
+            assert dict(model.walk([MARK * n + w]))[MARK * n + w] == model._as_ids(model.merged(MARK * n + w))
+
+
+def test_long_words(model):
+    """A million characters behind two spaces, and a million spaces, take time in proportion."""
+    import time
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["  " + "abcdefghij" * 100_000, " " * 300_000 + "x"]
+    began = time.time()
+    got = [x.tolist() for x in model.encode(texts)]
+    assert time.time() - began < 60 and got == library.encode(texts)
 
 
 def test_unigram_is_viterbi(model):
     """With the unigram rule a word's pieces have the best sum of scores of all segmentations."""
     m = object.__new__(Model)
     m.kind, m.ids = 1, {p: i for i, p in enumerate(["a", "b", "ab", "abc", "c", "bc", "ca"])}
-    m.scores, m.tails, m.byte, m.worst = [-2.0, -2.1, -3.0, -6.5, -1.5, -2.9, -3.3], {p[k:] for p in m.ids for k in range(len(p))}, list(range(100, 356)), -20.0
+    m.scores, m.tails, m.byte, m.worst = [-2.0, -2.1, -3.0, -6.5, -1.5, -2.9, -3.3], {p[k:]: m.ids.get(p[k:], -1) for p in m.ids for k in range(len(p))}, list(range(100, 356)), -20.0
+    m.apart = {}
     rng = random.Random(3)
     words = {"".join(rng.choice("abcz") for _ in range(rng.randrange(1, 9))) for _ in range(200)}
 
