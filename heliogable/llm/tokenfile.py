@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from heliogable.llm import store
 
-MAGIC = b"HGTOK001"
-_HEADER = struct.Struct("<8s7Q")
+MAGIC = b"HGTOK002"
+_HEADER = struct.Struct("<8s4Qq8Q")
 SAMPLE = 256
 #: A shard ends after so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 20
@@ -92,19 +92,6 @@ class EliasFano:
             low = (int(self.lows[word]) | int(self.lows[word + 1]) << 64) >> shift & ((1 << self.low_bits) - 1)
         return high << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """All values, decoded at once."""
-        place = np.flatnonzero(np.unpackbits(self.highs.view(np.uint8), bitorder="little"))[: self.n]
-        high = (place - np.arange(self.n)).astype(_U) << _U(self.low_bits)
-        if not self.low_bits:
-            return high.astype(np.int64)
-        at = np.arange(self.n, dtype=np.int64) * self.low_bits
-        shift = (at % 64).astype(_U)
-        low = self.lows[at // 64] >> shift
-        over = (at % 64) + self.low_bits > 64
-        low[over] |= self.lows[at[over] // 64 + 1] << (_U(64) - shift[over])
-        return (high | (low & _U((1 << self.low_bits) - 1))).astype(np.int64)
-
 
 class ShardWriter:
     """One shard, written in one pass: ids as they come, what finds them at the end."""
@@ -114,7 +101,9 @@ class ShardWriter:
         self.docs, self.ends, self.n = [], [], 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        """Ids as little-endian numbers of this shard's width."""
+        """Ids as little-endian numbers of this shard's width; documents come in ascending order, null first."""
+        if self.docs and self.docs[-1] is not None and (doc_id is None or doc_id < self.docs[-1]):
+            raise ValueError("documents out of order")
         self.out.write(ids)
         self.n += len(ids) // self.width
         self.docs.append(doc_id)
@@ -122,12 +111,15 @@ class ShardWriter:
 
     def close(self) -> None:
         self.out.write(b"\0" * (-self.n * self.width % 8))
-        ends = EliasFano.encode(np.array(self.ends, _U))
-        parts = [ends.lows.tobytes(), ends.highs.tobytes(), ends.directory.tobytes()]
-        parts.append(np.array([d or 0 for d in self.docs], "<i8").tobytes() + bytes(d is None for d in self.docs))
+        # Ids ascend, those that are null first, so they are coded like the ends, counted from the smallest.
+        given = [d for d in self.docs if d is not None]
+        base = given[0] if given else 0
+        ends, ids = EliasFano.encode(np.array(self.ends, _U)), EliasFano.encode(np.array([d - base for d in given], _U))
+        parts = [p.tobytes() for index in (ends, ids) for p in (index.lows, index.highs, index.directory)]
         for part in parts:
             self.out.write(part)
-        self.out.write(_HEADER.pack(MAGIC, self.width, len(self.docs), self.n, ends.low_bits, *[len(p) for p in parts[:3]]))
+        lengths = [len(p) for p in parts]
+        self.out.write(_HEADER.pack(MAGIC, self.width, len(self.docs), self.n, len(given), base, ends.low_bits, *lengths[:3], ids.low_bits, *lengths[3:]))
 
 
 class Shard:
@@ -139,18 +131,20 @@ class Shard:
         if size < _HEADER.size:
             raise ValueError("too short for a shard")
         source.seek(size - _HEADER.size)
-        magic, self.width, self.n_docs, self.n_ids, low_bits, *lengths = _HEADER.unpack(source.read(_HEADER.size))
-        tail = 9 * self.n_docs
+        magic, self.width, self.n_docs, self.n_ids, given, self.base, low_ends, *lengths = _HEADER.unpack(source.read(_HEADER.size))
+        low_ids = lengths.pop(3)
         begin = -(-self.n_ids * self.width // 8) * 8
-        if magic != MAGIC or begin + sum(lengths) + tail + _HEADER.size != size:
+        if magic != MAGIC or begin + sum(lengths) + _HEADER.size != size:
             raise ValueError("not a whole shard")
         source.seek(begin)
-        lows, highs, directory = (np.frombuffer(source.read(n), t) for n, t in zip(lengths, (_U, _U, np.uint32), strict=True))
-        ids = source.read(tail)
-        self.doc_ids = [None if null else x for x, null in zip(np.frombuffer(ids, "<i8", self.n_docs).tolist(), ids[8 * self.n_docs :], strict=True)]
-        self.ends = EliasFano(self.n_docs, low_bits, lows, highs, directory)
+        parts = [np.frombuffer(source.read(n), t) for n, t in zip(lengths, (_U, _U, np.uint32) * 2, strict=True)]
+        self.ends, self.keys = EliasFano(self.n_docs, low_ends, *parts[:3]), EliasFano(given, low_ids, *parts[3:])
         self.source = source
 
+    def doc_id(self, i: int) -> int | None:
+        nulls = self.n_docs - self.keys.n
+        return None if i < nulls else self.base + self.keys[i - nulls]
+
     def offsets(self, i: int) -> tuple[int, int]:
         return (self.ends[i - 1] if i else 0), self.ends[i]
 
@@ -163,16 +157,17 @@ class Shard:
         return np.frombuffer(self.source.read((b - a) * self.width), f"<u{self.width}")
 
     def documents(self, at_once: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """Each document's id, first place and ids, in order, a run of documents read at a time."""
-        ends = self.ends.all()
-        starts = np.concatenate(([0], ends[:-1]))
-        i = 0
+        """Each document's id, first place and ids, in order, a run of documents read at a time; places come from the index by select."""
+        i = start = 0
         while i < self.n_docs:
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + at_once, "right")))
-            run = self._read(int(starts[i]), int(ends[j - 1]))
-            for k in range(i, j):
-                yield self.doc_ids[k], int(starts[k]), run[starts[k] - starts[i] : ends[k] - starts[i]]
-            i = j
+            ends = [self.ends[i]]
+            while i + len(ends) < self.n_docs and ends[-1] - start < at_once:
+                ends.append(self.ends[i + len(ends)])
+            run, first = self._read(start, ends[-1]), start
+            for k, end in enumerate(ends, i):
+                yield self.doc_id(k), start, run[start - first : end - first]
+                start = end
+            i += len(ends)
 
 
 def _split(text: str) -> list[str]:
