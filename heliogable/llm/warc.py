@@ -34,6 +34,8 @@ REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 #: Pages that the dictionary learns from, at most, and bytes of each; its size.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 16_384, 65_536
+#: Payloads that are looked up by broadcast, the most frequent ones.
+HOT = 1000
 #: An archive ends after so many bytes.
 ARCHIVE_BYTES = 256 << 20
 DATE = "2026-01-01T00:00:00Z"
@@ -92,10 +94,16 @@ class Archive:
             body = self._take(size)
             if len(body) != size:
                 raise ValueError("the dictionary frame is cut off")
-            self.dictionary = zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 26) if body[:4] == FRAME_MAGIC else body
+            try:
+                self.dictionary = zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 26) if body[:4] == FRAME_MAGIC else body
+            except zstandard.ZstdError as e:
+                raise ValueError(f"broken dictionary: {e}") from e
             self.left = b""
         held = zstandard.ZstdCompressionDict(self.dictionary) if self.dictionary else None
-        self.decoder = zstandard.ZstdDecompressor(dict_data=held)
+        try:
+            self.decoder = zstandard.ZstdDecompressor(dict_data=held)
+        except zstandard.ZstdError as e:
+            raise ValueError(f"broken dictionary: {e}") from e
 
     def _take(self, n: int) -> bytes:
         out = b""
@@ -219,11 +227,19 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     # Only digests and ids are counted; a payload that a third of the pages have is one row a task here.
     found = store.keep(rows.groupBy(F.sha1("payload").alias("of")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")), f"{place}/payloads")
-    sample = [r[0] for r in rows.filter(F.octet_length("payload") > 0).select(F.substring("payload", 1, SAMPLE_BYTES)).limit(SAMPLE_PAGES).collect()]
+    # The smallest digests: the same pages in every run.
+    some = rows.filter(F.octet_length("payload") > 0).select(F.sha1("payload").alias("of"), F.substring("payload", 1, SAMPLE_BYTES).alias("head"))
+    sample = [r["head"] for r in some.orderBy("of", "head").limit(SAMPLE_PAGES).collect()]
     dictionary = train([bytes(x) for x in sample])
-    # Pages whose payload is there once are responses in any case; the rest look up the largest id.
-    joined = rows.withColumn("of", F.sha1("payload")).join(found.filter("n > 1").select("of", "last"), "of", "left")
+    # Pages whose payload is there once are responses in any case; the rest look up the largest id.  The most frequent
+    # payloads are looked up where the pages are; of the others none holds a large share, so they can move by digest.
+    again = found.filter("n > 1")
+    hot = again.orderBy(F.desc("n"), "of").limit(HOT).select("of", F.col("last").alias("hot_last"), F.lit(True).alias("hot"))
+    joined = rows.withColumn("of", F.sha1("payload")).join(F.broadcast(hot), "of", "left")
+    joined = joined.withColumn("of", F.when(F.col("hot"), F.xxhash64("page_id", "url").cast("string")).otherwise(F.col("of")))
+    joined = joined.join(again.join(F.broadcast(hot), "of", "left_anti").select("of", "last"), "of", "left").withColumn("last", F.coalesce("hot_last", "last"))
     revisit = (F.octet_length("payload") >= least_bytes) & F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

@@ -98,6 +98,43 @@ def test_rendering_depth():
     assert text_of("<div>" * 30_000 + "x") == "x" and "x" in text_of("<table><tr><td>" * 300 + "x") and text_of("<ul><li>" * 2000 + "x").endswith("x")
 
 
+def test_broken_dictionary(spark, tmp_path):
+    """An archive whose dictionary is broken is a row with a problem; the others are read."""
+    import struct
+
+    import zstandard
+
+    from heliogable.llm import warc
+
+    rows = [(k, f"http://x/{k}", f"<p>page {k} " + "some words of the page " * 30) for k in range(60)] + [(100 + k, None, "<p>the same body") for k in range(40)]
+    listed = warc.write_warc(pages(spark, rows)).collect()
+    sound = open(listed[0].path.removeprefix("file://"), "rb").read()
+    size = struct.unpack("<I", sound[4:8])[0]
+    assert size > 100
+    broken = [sound[:8] + bytes([sound[8 + k] ^ (255 if k in (6, 7, 8, 30) else 0) for k in range(size)]) + sound[8 + size :], sound[:4] + struct.pack("<I", len(sound)) + sound[8:], struct.pack("<II", warc.DICTIONARY_MAGIC, 8) + zstandard.MAGIC_NUMBER.to_bytes(4, "little") + b"\xff" * 4]
+    paths = [(listed[0].path,)]
+    for k, body in enumerate(broken):
+        (tmp_path / f"{k}.zst").write_bytes(body)
+        paths.append((f"file://{tmp_path}/{k}.zst",))
+    got = warc.read_warc(spark.createDataFrame(paths, "path string"), with_payload=False).collect()
+    assert sum(r.problem is None for r in got) >= listed[0].records and sum(r.problem is not None for r in got) >= 3
+
+
+def test_frequent_bodies(spark, monkeypatch):
+    """More frequent bodies than are looked up by broadcast, and those that are not."""
+    from heliogable.llm import warc
+
+    monkeypatch.setattr(warc, "HOT", 2)
+    rows = [(k, "u", f"body {k % 7}" if k % 3 else "hot") for k in range(90)] + [(None, "u", "hot"), (200, "u", None), (201, "u", "")]
+    got = {r.page_id: r for r in warc.read_warc(warc.write_warc(pages(spark, rows))).collect()}
+    last = {}
+    for k, _, body in rows:
+        last[body or ""] = max(last.get(body or "", -1), -1 if k is None else k)
+    for k, _, body in rows:
+        first = last[body or ""]
+        assert (got[k].record_type, got[k].refers_to) == (("response", None) if k == first else ("revisit", first))
+
+
 def test_html_rows(spark):
     got = {r.page_id: r.text for r in extract_html(pages(spark, [(1, "u", "<p>a<p>b"), (2, None, None), (None, "u", "c"), (3, "u", "<p>" + "word " * 200_000)])).collect()}
     assert got[1] == "a\n\nb" and got[2] == "" and got[None] == "c" and len(got[3]) == 999_999
