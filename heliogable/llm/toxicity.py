@@ -9,7 +9,7 @@ so no feature is fitted on the row that the trees learn it from; three quarters
 of the rows train the trees, the rest the calibration.
 
 The training sample is at most ``SAMPLE`` labelled rows, in the order of a hash
-of their ids; only counts of words (bounded by ``LEXICON``) and feature rows of
+of their ids; only counts of words (bounded by the sample) and feature rows of
 the sample come to the driver.  Every document is scored from its whole text.
 """
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from heliogable.llm import store, words
 
-#: Labelled rows that are learned from, at most; entries that the learned lexicon has, at most.
-SAMPLE, LEXICON = 24_000, 8_000
+#: Labelled rows that are learned from, at most; they bound the learned lexicon and everything else that is fitted.
+SAMPLE = 24_000
+#: Parts that take turns in giving the scores to calibrate on.
+FOLDS = 4
 BEGINNING = 5
 NEAR = 5
 REMEMBER = 300_000
@@ -66,12 +68,12 @@ class Features:
         self.lexicon, self.known = lexicon, {}
 
     def _code(self, word: str) -> int:
-        """Bits: 0 fixed, 1 second person, 2 all capitals, 3 obfuscated; from 8 on the learned weight in sixteenths."""
+        """Bits: 0 fixed, 1 second person, 2 all capitals, 3 obfuscated; from 8 on the learned weight in sixteenths; from 16 on capitals beyond A to Z."""
         w = plain(word)
         weight = max(self.lexicon.get(w, 0.0), self.lexicon.get(w[:BEGINNING] + "*", 0.0) if len(w) > BEGINNING else 0.0)
         inner = word.strip(".,;:()\"'")
         odd = bool(w) and any(not c.isalpha() and c not in "-'’" for c in inner)
-        return (w in INSULTS) | (w in SECOND) << 1 | (len(inner) > 1 and inner.isupper()) << 2 | odd << 3 | int(min(weight, 15) * 16) << 8
+        return (w in INSULTS) | (w in SECOND) << 1 | (len(inner) > 1 and inner.isupper()) << 2 | odd << 3 | int(min(weight, 15) * 16) << 8 | (0 if word.isascii() else sum(c.isupper() and not c.isascii() for c in word)) << 16
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         rows = np.zeros((len(texts), len(FEATURES)))
@@ -89,21 +91,21 @@ class Features:
                     if w not in known:
                         known[w] = self._code(w)
                 codes = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-            weight = (codes >> 8) / 16.0
+            weight = (codes >> 8 & 255) / 16.0
             fixed, second, hit = codes & 1, (codes >> 1) & 1, (weight > 0) | (codes & 1 > 0)
             upto = np.concatenate(([0], np.cumsum(second)))
             at = np.flatnonzero(hit)
             near = (upto[np.minimum(at + NEAR + 1, len(own))] - upto[np.maximum(at - NEAR, 0)]) > 0
             k = len(own)
             rows[n, :9] = np.log1p(k), fixed.sum() / k, np.log1p(fixed.sum()), (weight > 0).sum() / k, np.log1p((weight > 0).sum()), weight.sum() / k, weight.max(), np.log1p(near.sum()), second.sum() / k
-            rows[n, 10], rows[n, 14] = ((codes >> 2) & 1).sum() / k, ((codes >> 3) & 1).sum() / k
+            rows[n, 9], rows[n, 10], rows[n, 14] = (codes >> 16).sum() / len(raw), ((codes >> 2) & 1).sum() / k, ((codes >> 3) & 1).sum() / k
         for a, b in words.blocks(texts):
             block = np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8)
             ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
             begins = np.concatenate(([0], ends[:-1]))
             sizes = np.maximum(ends - begins - 1, 1)
             for column, table in _CLASSES.items():
-                rows[a:b, column] = np.add.reduceat(table[block], begins, dtype=np.int64) / sizes
+                rows[a:b, column] += np.add.reduceat(table[block], begins, dtype=np.int64) / sizes
         return rows
 
 
@@ -228,8 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(w, y, h) for t, y, h in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half")), strict=True) for w in entries(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["entry", "y", "half"])
+            for a in range(len(batch)):
+                one = batch.slice(a, 1)
+                own = pa.array(sorted(entries(one.column("text")[0].as_py())), pa.string())
+                yield pa.RecordBatch.from_arrays([own, *[pa.array(np.full(len(own), one.column(c)[0].as_py(), np.int32)) for c in ("y", "half")]], names=["entry", "y", "half"])
 
     # Counts by half: the rows of a half have features under what the other half teaches; the lexicon in use is both's.
     sums = [F.sum(F.when(F.col("half") == h, F.lit(1)).otherwise(0) * (F.col("y") if c == "a" else 1 - F.col("y"))).alias(f"{c}{h}") for h in (0, 1) for c in ("a", "b")]
@@ -240,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         of = lambda c: sum(F.col(f"{c}{h}") for h in halves)
         weight = F.log((of("a") + 0.5) / (sum(n[f"a{h}"] for h in halves) + 1)) - F.log((of("b") + 0.5) / (sum(n[f"b{h}"] for h in halves) + 1))
         sure = weight / F.sqrt(1 / (of("a") + 0.5) + 1 / (of("b") + 0.5))
-        best = counts.filter(of("a") >= 2).select("entry", weight.alias("weight"), sure.alias("sure")).filter("weight > 1.5 and sure > 2.5").orderBy(F.desc("sure"), "entry").limit(LEXICON)
+        best = counts.filter(of("a") >= 2).select("entry", weight.alias("weight"), sure.alias("sure")).filter("weight > 1.5 and sure > 2.5")
         return {r["entry"]: r["weight"] for r in best.collect()}
 
     of_other = {0: lexicon((1,)), 1: lexicon((0,))}
@@ -258,12 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     learned = rows.select("order", "text", "y", "half").mapInArrow(features_of, "order long, y int, x array<double>").toPandas().sort_values("order")
     x, y = np.stack(learned["x"]), learned["y"].to_numpy(float)
-    check = np.arange(len(y)) % 4 == 3
-    if min(y[check].sum(), (1 - y[check]).sum()) < 20:  # too few to calibrate on their own
-        check = np.zeros(len(y), bool)
-    trees = Trees.fit(x[~check], y[~check])
-    judge = check if check.any() else ~check
-    return Model(lexicon((0, 1)), trees, *isotonic(trees(x[judge]), y[judge]))
+    # Each row is judged by trees that haven't seen it; the calibration of these scores serves the trees of all rows.
+    fold, judged = np.arange(len(y)) % FOLDS, np.zeros(len(y))
+    for k in range(min(FOLDS, len(y))):
+        judged[fold == k] = Trees.fit(x[fold != k], y[fold != k])(x[fold == k])
+    return Model(lexicon((0, 1)), Trees.fit(x, y), *isotonic(judged, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
