@@ -1,6 +1,6 @@
 """Join of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-1. Documents of equal word sequences are one class; its smallest id stands for it.
+1. Documents of equal word sequences are one class, numbered on its own: ids may repeat or be null.
 2. A class has 36 x 5 MinHash values.  Two classes are candidates if a band of
    five values is equal; at similarity 0.8 all 36 bands differ with probability
    6e-7.
@@ -105,7 +105,7 @@ _LEAST = [(k * ROWS * 6, least_equal(k * ROWS * 6)) for k in range(1, BANDS * RO
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = words.as_bytes(batch.column("text"))
-        ids = batch.column("doc_id")
+        ids, marks = batch.column("doc_id"), batch.column("mark")
         for a, b in words.blocks(texts):
             offsets, found, keys = shingles(texts[a:b])
             sizes = np.diff(offsets)
@@ -120,8 +120,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = {k: keyed[n].view(np.int64) for n, k in enumerate([keys[i] for i in own])}
             n_words = [len(t) // 6 + 1 for t in texts[a:b]]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array([k if s else None for k, s in zip(keys, sizes, strict=True)], pa.binary()), pa.array(n_words, pa.int64()), pa.array([rows.get(k) if first[k] == i else None for i, k in enumerate(keys)], pa.list_(pa.int64()))],
-                names=["doc_id", "class", "weight", "bands"],
+                [ids.slice(a, b - a), marks.slice(a, b - a), pa.array([k if s else None for k, s in zip(keys, sizes, strict=True)], pa.binary()), pa.array(n_words, pa.int64()), pa.array([rows.get(k) if first[k] == i else None for i, k in enumerate(keys)], pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "class", "weight", "bands"],
             )
 
 
@@ -178,13 +178,13 @@ def _links(offsets: np.ndarray, found: np.ndarray, sig: np.ndarray, keyed: np.nd
 
 def _work(group: pa.Table) -> pa.Table:
     """One bin of units: a row for each class of a unit."""
-    group = group.sort_by([("unit", "ascending"), ("doc_id", "ascending")])
+    group = group.sort_by([("unit", "ascending"), ("node", "ascending")])
     units = np.array(group["unit"].combine_chunks().dictionary_encode().indices)
     limits = np.concatenate((np.flatnonzero(np.diff(units, prepend=-1)), [len(units)]))
     out_id, out_unit, out_links, out_texts, out_label = [], [], [], [], []
     for a, b in zip(limits[:-1], limits[1:], strict=True):
         part = group.slice(a, b - a)
-        ids, copies = part["doc_id"].to_numpy(), part["copies"].to_numpy()
+        ids, copies = part["node"].to_numpy(), part["copies"].to_numpy()
         side, band = part["side"].to_numpy(), part["band"][0].as_py()
         if side[0] >= 0 and side.min() == side.max():
             continue  # the other block is empty: no pairs across
@@ -213,7 +213,7 @@ def _work(group: pa.Table) -> pa.Table:
         out_texts.append(texts)
         out_label.append(ids[[root(x) for x in range(len(ids))]])
     cat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-    return pa.table({"doc_id": cat(out_id), "links": cat(out_links), "texts": cat(out_texts), "label": cat(out_label)})
+    return pa.table({"node": cat(out_id), "links": cat(out_links), "texts": cat(out_texts), "label": cat(out_label)})
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,56 +225,61 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links, other documents at 0.8 or more (copies counted).
 
     A null or empty text, or one without words, is linked to nothing and its own
-    class.  A null id is left out of the join and stands for itself, without
-    links.  Rows that repeat an id count as documents each; ids are expected to
-    be unique for counts to make sense.  An empty table gives an empty one.
-    Other columns of the input are not read.
+    class.  Rows that repeat an id are documents each, whatever their texts, and
+    so are rows with a null id: they are linked like others, and an id of a
+    sequence or group is null only where it has no other.  An empty table gives
+    an empty one.  Other columns of the input are not read.
     """
     spark = docs.sparkSession
     place = store.folder(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = store.keep(rows.mapInArrow(_sketch, "doc_id long, class binary, weight long, bands array<long>"), f"{place}/sketch")
-    known = sketch.filter("doc_id is not null and class is not null")
-    classes = known.groupBy("class").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("bands", ignorenulls=True).alias("bands"), F.first("weight").alias("weight"))
-    classes = store.keep(classes, f"{place}/classes")
-
-    entries = classes.select("rep_id", "weight", F.posexplode("bands").alias("band", "key"))
-    met = entries.groupBy("band", "key").agg(F.min("rep_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    sketch = store.keep(rows.mapInArrow(_sketch, "doc_id long, mark long, class binary, weight long, bands array<long>"), f"{place}/sketch")
+    known = sketch.filter("class is not null")
+    # A class is represented by its smallest id and, as an id may have several texts, the text's hash.
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    classes = known.groupBy("class").agg(rep.alias("rep"), F.count("*").alias("copies"), F.first("bands", ignorenulls=True).alias("bands"), F.first("weight").alias("weight"))
+    classes = store.keep(classes.select("class", F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("rep_id"), "rep.mark", "copies", "bands", "weight"), f"{place}/classes")
+
+    entries = classes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
+    met = entries.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
     met = store.keep(entries.join(met, ["band", "key"]), f"{place}/met")
     # A class hangs on the smallest of its bands' first classes, and these hang on that one: what many classes share is one edge.
-    firsts = met.groupBy("rep_id").agg(F.collect_set("first").alias("firsts")).withColumn("b", F.array_min("firsts"))
-    edges = firsts.select(F.col("rep_id").alias("a"), "b").union(firsts.select("firsts", "b").distinct().select(F.explode("firsts").alias("a"), "b").distinct())
+    firsts = met.groupBy("node").agg(F.collect_set("first").alias("firsts")).withColumn("b", F.array_min("firsts"))
+    edges = firsts.select(F.col("node").alias("a"), "b").union(firsts.select("firsts", "b").distinct().select(F.explode("firsts").alias("a"), "b").distinct())
     coarse = components(edges.filter("a != b"), f"{place}/coarse")
 
     # How many blocks a group needs, and whether its bands are the smaller work.
-    member = coarse.join(classes.select(F.col("rep_id").alias("node"), "weight"), "node")
+    member = coarse.join(classes.select("node", "weight"), "node")
     need = F.greatest(F.ceil(F.col("n") / UNIT), F.ceil(F.col("size") / UNIT_WORDS))
     of_group = member.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("size")).select("label", "n", need.alias("blocks"))
-    of_band = met.join(coarse.select(F.col("node").alias("rep_id"), "label"), "rep_id").groupBy("label", "band", "key").agg(F.count("*").alias("n"), F.sum("weight").alias("size")).select("label", "band", "key", "n", need.alias("blocks"))
+    of_band = met.join(coarse, "node").groupBy("label", "band", "key").agg(F.count("*").alias("n"), F.sum("weight").alias("size")).select("label", "band", "key", "n", need.alias("blocks"))
     by_band = of_band.groupBy("label").agg(F.sum(F.col("n") * F.col("blocks")).alias("moved"))
     plan = store.keep(of_group.join(by_band, "label").select("label", "blocks", ((F.col("blocks") > 1) & (F.col("moved") < F.col("n") * F.col("blocks"))).alias("banded")), f"{place}/plan")
 
     def units(df: DataFrame, name) -> DataFrame:
         """Each member of something with so many blocks, in a unit for each pair of blocks that its own is part of; side is -1 where both are one block."""
-        own = df.withColumn("own", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int"))
+        own = df.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         other = own.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
         unit = F.concat_ws(":", name, F.least("own", "other"), F.greatest("own", "other"))
-        return other.select("rep_id", unit.alias("unit"), F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(-1).alias("side"), "band")
+        return other.select("node", unit.alias("unit"), F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(-1).alias("side"), "band")
 
-    members = coarse.select(F.col("node").alias("rep_id"), "label").join(plan, "label")
+    members = coarse.join(plan, "label")
     whole = units(members.filter("not banded").withColumn("band", F.lit(None).cast("int")), F.concat(F.lit("g"), F.col("label")))
-    banded = met.select("rep_id", "band", "key").join(members.filter("banded").select("rep_id", "label"), "rep_id").join(of_band.select("band", "key", "blocks", "label"), ["label", "band", "key"])
+    banded = met.select("node", "band", "key").join(members.filter("banded").select("node", "label"), "node").join(of_band.select("band", "key", "blocks", "label"), ["label", "band", "key"])
     banded = units(banded, F.concat_ws("/", F.lit("b"), F.col("label"), F.col("band"), F.col("key")))
-    work = whole.unionByName(banded).join(classes.select("rep_id", "copies"), "rep_id")
-    texts = rows.join(work.withColumnRenamed("rep_id", "doc_id"), "doc_id").dropDuplicates(["doc_id", "unit"])
-    tasks = max(store.partitions(spark), -(-met.select("rep_id").distinct().count() // (2 * UNIT)))
-    found = texts.withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(tasks * 4)).cast("int")).repartition(tasks, "bin").groupBy("bin").applyInArrow(_work, "doc_id long, links long, texts long, label long")
+    work = whole.unionByName(banded).join(classes.select("node", "rep_id", F.col("mark").alias("rep_mark"), "copies"), "node")
+    texts = rows.join(work, rows["doc_id"].eqNullSafe(work["rep_id"]) & (rows["mark"] == work["rep_mark"])).drop("doc_id", "mark", "rep_id", "rep_mark").dropDuplicates(["node", "unit"])
+    tasks = max(store.partitions(spark), -(-met.select("node").distinct().count() // (2 * UNIT)))
+    found = texts.withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(tasks * 4)).cast("int")).repartition(tasks, "bin").groupBy("bin").applyInArrow(_work, "node long, links long, texts long, label long")
     found = store.keep(found, f"{place}/found")
 
-    groups = components(found.select(F.col("doc_id").alias("a"), F.col("label").alias("b")).filter("a != b"), f"{place}/groups")
-    links = found.groupBy(F.col("doc_id").alias("rep_id")).agg(F.sum("links").alias("links"), F.sum("texts").alias("linked_texts"))
-    result = classes.select("class", "rep_id", "copies").join(links, "rep_id", "left").join(groups.select(F.col("node").alias("rep_id"), "label"), "rep_id", "left")
-    result = result.select("class", "rep_id", F.coalesce("label", "rep_id").alias("class_id"), "copies", F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a != b"), f"{place}/groups")
+    of_class = store.keep(groups.join(classes.select("node", "rep_id"), "node"), f"{place}/of-class")
+    smallest = of_class.groupBy("label").agg(F.min("rep_id").alias("least"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("linked_texts"))
+    result = classes.select("class", "node", "rep_id", "copies").join(links, "node", "left").join(of_class.select("node", "label").join(smallest, "label"), "node", "left")
+    class_id = F.when(F.col("label").isNull(), F.col("rep_id")).otherwise(F.col("least"))
+    result = result.select("class", "rep_id", class_id.alias("class_id"), "copies", F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     joined = known.select("doc_id", "class").join(result, "class").drop("class")
-    alone = sketch.filter("doc_id is null or class is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("linked_texts"), F.lit(0).cast("long").alias("links"))
+    alone = sketch.filter("class is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("linked_texts"), F.lit(0).cast("long").alias("links"))
     return joined.unionByName(alone)

@@ -104,6 +104,18 @@ def test_jaccard_odd_rows(frame, odd_rows):
     assert len(alone) == 1 and alone[0].links == 0
 
 
+def test_jaccard_repeated_ids(frame):
+    """Rows are documents each, whatever their ids: counts against all pairs of rows."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "z"])), (3, " ".join([*b, "z"])), (None, " ".join([*a, "y"])), (None, "alone in the world with these words"), (None, "alone in the world with these  words"), (4, " ".join(b)), (4, " ".join(b))]
+    sets = [shingle_set(t) for _, t in rows]
+    near = [[i != j and len(x & y) >= 0.8 * len(x | y) for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    want = sorted((str(i), sum(row)) for (i, _), row in zip(rows, near, strict=True))
+    got = jaccard_join(frame(rows)).collect()
+    assert sorted((str(r.doc_id), r.links) for r in got) == want
+    assert {(r.doc_id, r.class_id) for r in got} == {(1, 1), (2, 1), (3, 1), (None, 1), (None, None), (4, 1)}
+
+
 def test_jaccard_large_groups(frame, monkeypatch):
     """A group that is cut into blocks, whole or by bands, loses no link."""
     from heliogable.llm import jaccard
