@@ -86,6 +86,32 @@ def csv_lines(df: DataFrame, columns: list[str]) -> Column:
     return F.concat_ws(",", *[csv_field(F.col(c)) for c in columns])
 
 
+# The columns of the replay report, in order.
+CSV_COLUMNS = (
+    "project_id case_label address_label bucket_expected replay_success replay_error final_status face_count total_runtime_ms ml_runtime_ms crm_post_ml_ms top_hotspot v2p0_ground_like_count v2p0_hard_suppressed_count "
+    "v2p1_structural_coherence_score v2p1_main_plane_count v2p1_mirrored_pair_count v2p2_main_roof_coherence_score v2p2_fragmented_main_roof v2p3_roof_relationship_coherence_score v2p3_main_relationship_count v2p3_uncertain_count "
+    "v2p4_whole_roof_consistency_score v2p4_dominant_story_strength v2p4_uncertainty_ratio v2p7_support_score v2p7_risk_score v2p7_effective_risk_score v2p7_complexity_dampener v2p7_final_decision_score v2p7_decision_change_applied "
+    "v2p7_clean_structural_story p8_pitch_correction_count p9_fallback_verdict p9_matched_fraction review_reasons v2p4_contradiction_flags v2p7_explicit_escalation_triggers v2p7_decision_reasons buckets visual_review_priority"
+).split()
+
+
+def report_lines(df: DataFrame) -> Column:
+    """A line of the report for each row: all its columns in order, empty where the row has none; arrays joined by |."""
+    kinds = dict(df.dtypes)
+    value = lambda c: F.lit(None).cast("string") if c not in kinds else F.array_join(c, "|") if kinds[c].startswith("array") else F.col(c)
+    return F.concat_ws(",", *[csv_field(value(c)) for c in CSV_COLUMNS])
+
+
+def edge_scores(df: DataFrame, edges: str = "edges") -> DataFrame:
+    """With n_scored, n_high, n_medium, n_low and mean_score (two digits, null without any) of edges array<struct<score, confidence>>; edges without a score don't count."""
+    scored = F.filter(F.coalesce(F.col(edges), F.array().cast(df.schema[edges].dataType)), lambda e: e["score"].isNotNull())
+    df = df.withColumn("_s", scored).withColumn("n_scored", F.size("_s").cast("long"))
+    among = lambda k: F.size(F.filter("_s", lambda e: F.coalesce(e["confidence"] == k, F.lit(False)))).cast("long")
+    df = df.withColumns({f"n_{k}": among(k) for k in ("high", "medium", "low")})
+    total_score = F.aggregate("_s", num(0), lambda a, e: a + e["score"])
+    return df.withColumn("mean_score", F.when(F.col("n_scored") > 0, F.round(total_score / F.col("n_scored"), 2))).drop("_s")
+
+
 def metric_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(metric, a, b, delta) over the union of both sides' metrics."""
     both = a.select("metric", F.col("value").alias("a")).join(b.select("metric", F.col("value").alias("b")), "metric", "full_outer")

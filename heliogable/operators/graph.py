@@ -251,6 +251,17 @@ def nearest_on_segments(points: DataFrame, segments: DataFrame, within: float =
     return df.groupBy("scene_id", "pid").agg(F.min_by(F.struct("segment_id", "nx", "nz", "gap"), F.struct(F.round("gap", 9), "segment_id")).alias("m")).select("scene_id", "pid", "m.*")
 
 
+def iou_match(faces: DataFrame, contours: DataFrame, least: float = 0.15) -> DataFrame:
+    """(scene_id, face_id, contour_id, iou): of each face, the contour whose box overlaps its own most, by more than ``least`` of the union; ties to the smaller contour."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    a, b = faces.alias("a"), contours.alias("b")
+    overlap = [F.least(c("a", f"{k}1"), c("b", f"{k}1")) - F.greatest(c("a", f"{k}0"), c("b", f"{k}0")) for k in "xz"]
+    size = lambda s: (c(s, "x1") - c(s, "x0")) * (c(s, "z1") - c(s, "z0"))
+    both = overlap[0] * overlap[1]
+    pairs = a.join(b, (c("a", "scene_id") == c("b", "scene_id")) & (overlap[0] > 0) & (overlap[1] > 0)).select("a.scene_id", "a.face_id", "b.contour_id", (both / (size("a") + size("b") - both)).alias("iou"))
+    return pairs.filter(F.col("iou") > least).groupBy("scene_id", "face_id").agg(F.min(F.struct((-F.col("iou")).alias("less"), "contour_id")).alias("m")).select("scene_id", "face_id", "m.contour_id", (-F.col("m.less")).alias("iou"))
+
+
 def sisters(planes: DataFrame, turn: float = 20, slope: float = 10, rise: float = 1.5) -> DataFrame:
     """Pairs p < q of a scene that face away from each other at like pitch and height."""
     a, b = planes.alias("a"), planes.alias("b")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from heliogable.functions.columns import in_polygon, num
 from heliogable.operators import solar
+from heliogable.sources.tables import keep
 
 MOST, FARTHEST, LIFT, EPS = 256, 80.0, 0.02, 1e-6
 
@@ -123,6 +124,15 @@ def triangles(obstructions: DataFrame) -> DataFrame:
     return df.filter(k >= 3).select("scene_id", "obstruction_id", F.posexplode(F.concat(sides, top)).alias("t", "s")).select("scene_id", "obstruction_id", "t", "s.a", "s.b", "s.c")
 
 
+def rays_of(spark: SparkSession, sections: DataFrame, lat: float, lng: float, samples: int = 120) -> DataFrame:
+    """A ray (scene_id, section_id, row, col, sample, o, d) from each pixel to the sun of each sample before the section's face."""
+    framed, c = keep(frames(sections), "frames"), F.col
+    lifted = pixels(framed).join(framed.select("scene_id", "section_id", "nx", "ny", "nz"), ["scene_id", "section_id"]).withColumn("o", _v(*[c(a) + LIFT * c(f"n{a}") for a in "xyz"]))
+    facing = c("d.x") * c("nx") + c("d.y") * c("ny") + c("d.z") * c("nz")
+    rays = lifted.join(F.broadcast(sun_samples(spark, lat, lng, samples).filter("dni > 0").select("sample", "d"))).filter(facing > 0)
+    return rays.select("scene_id", "section_id", "row", "col", "sample", "o", "d")
+
+
 def hits_triangle(o: Column, d: Column, a: Column, b: Column, c: Column, farthest: float = FARTHEST) -> Column:
     """Whether a ray meets a triangle from either side, between EPS and ``farthest``."""
     e1, e2, s = _sub(b, a), _sub(c, a), _sub(o, a)
@@ -188,7 +198,7 @@ def bake(spark: SparkSession, sections: DataFrame, obstructions: DataFrame | Non
     ``mode`` is none, obstructions, trees or both.
     """
     c = F.col
-    framed = frames(sections)
+    framed = keep(frames(sections), "frames")
     px = pixels(framed)
     if obstructions is not None:
         px = exclude_footprints(px, obstructions.select("scene_id", "xs", "zs"))
@@ -197,7 +207,8 @@ def bake(spark: SparkSession, sections: DataFrame, obstructions: DataFrame | Non
     even = framed.join(F.broadcast(light)).select("scene_id", "section_id", "nx", "ny", "nz", (c("sky") * (1 + c("ny")) / 2 + c("all") * num(albedo) * (1 - c("ny")) / 2).alias("even"))
     # Only samples before the section's face can add beam; of these, blocked ones drop out pixel by pixel.
     facing = even.join(F.broadcast(sun)).withColumn("aoi", c("d.x") * c("nx") + c("d.y") * c("ny") + c("d.z") * c("nz")).filter("aoi > 0 and dni > 0").select("scene_id", "section_id", "sample", "d", (c("dni") * c("aoi") * c("weight")).alias("beam"))
-    lifted = px.join(even, ["scene_id", "section_id"]).withColumn("o", _v(*[c(a) + LIFT * c(f"n{a}") for a in "xyz"]))
+    even, facing = keep(even, "even"), keep(facing, "facing")
+    lifted = keep(px.join(even, ["scene_id", "section_id"]), "pixels").withColumn("o", _v(*[c(a) + LIFT * c(f"n{a}") for a in "xyz"]))
     total = facing.groupBy("scene_id", "section_id").agg(F.sum("beam").alias("beams"))
     rays = lifted.select("scene_id", "section_id", "row", "col", "o").join(facing, ["scene_id", "section_id"])
     use = {"none": (None, None), "obstructions": (obstructions, None), "trees": (None, trees), "both": (obstructions, trees)}[mode]

@@ -67,6 +67,31 @@ def csv_rows(spark, sf_dir):
     return df.select("case_id", op.csv_lines(df, ["case_id", "replay", "note", "runtime_ms", "buckets", "p9_reason"]).alias("line"))
 
 
+REPORT = {
+    "project_id": "'p' || case_id", "case_label": "CASE WHEN case_id % 5 = 0 THEN 'say \"' || status || '\"' WHEN case_id % 5 = 1 THEN status || ', later' ELSE status END", "replay_success": "CASE WHEN replay = 'error' THEN 'false' ELSE 'true' END",
+    "replay_error": "CASE WHEN replay = 'error' THEN 'timeout' END", "final_status": "status", "face_count": "faces", "total_runtime_ms": "runtime_ms", "v2p0_hard_suppressed_count": "ground_suppressed", "v2p1_main_plane_count": "main_faces", "v2p4_uncertainty_ratio": "CAST(CAST(FLOOR(uncertainty * 100 + 0.5) AS INT) AS VARCHAR(9))",
+    "p9_fallback_verdict": "p9_reason", "buckets": "buckets",
+}
+
+
+@query("report_lines", "WITH " + BUCKETS + " SELECT case_id, concat_ws(',', " + ", ".join(f"coalesce(CASE WHEN ({REPORT[c]})::VARCHAR SIMILAR TO '(?s).*[\",\n].*' THEN '\"' || replace(({REPORT[c]})::VARCHAR, '\"', '\"\"') || '\"' ELSE ({REPORT[c]})::VARCHAR END, '')" if c in REPORT else "''" for c in op.CSV_COLUMNS) + ") AS line FROM b", "audit")
+def report_lines(spark, sf_dir):
+    df = _rows(spark, sf_dir)
+    df = df.select("case_id", *[(F.split("buckets", r"\|") if c == "buckets" else F.expr(e)).alias(c) for c, e in REPORT.items()])
+    return df.select("case_id", op.report_lines(df).alias("line"))
+
+
+@query("edge_score_stats", """WITH e AS (SELECT event_id, unnest(range(0, event_id % 5)) AS k FROM events), s AS (SELECT event_id, CASE WHEN (event_id + k) % 4 > 0 THEN ((event_id * 7 + k * 13) % 128) / 128.0::DOUBLE END AS score, ['high', 'medium', 'low'][((event_id + k * 2) % 3 + 1)::INT] AS confidence FROM e)
+  SELECT v.event_id, count(score) AS n_scored, count(score) FILTER (confidence = 'high') AS n_high, count(score) FILTER (confidence = 'medium') AS n_medium, count(score) FILTER (confidence = 'low') AS n_low, round(avg(score), 2) AS mean_score FROM events v LEFT JOIN s USING (event_id) GROUP BY 1""")
+def edge_score_stats(spark, sf_dir):
+    i = F.col("event_id")
+    names = F.array(*map(F.lit, ("high", "medium", "low")))
+    edge = lambda k: F.struct(F.when((i + k) % 4 > 0, (i * 7 + k * 13) % 128 / 128).alias("score"), F.get(names, ((i + k * 2) % 3).cast("int")).alias("confidence"))
+    edges = F.slice(F.transform(F.sequence(F.lit(0), F.lit(4)), edge), F.lit(1), (i % 5).cast("int"))
+    df = op.edge_scores(table(spark, sf_dir, "events").select("event_id", edges.alias("edges")))
+    return df.drop("edges")
+
+
 DECIDE = """d AS (SELECT *, main_fraction < 0.4 AND faces >= 2 AS fragmented, 0.35 * whole_story + 0.25 * confidence + 0.20 * main_fraction + 0.10 * structure + 0.10 * pair_coverage AS support FROM audit),
   r AS (SELECT *, if(whole_story < 0.5, 0.30, 0) + if(fragmented, 0.20, 0) + if(pair_coverage < 0.4 AND main_faces >= 2, 0.15, 0) + if(structure < 0.4 AND main_faces >= 2, 0.10, 0) + if(uncertainty > 0.6, 0.10, 0)
         + if(contradictions >= 2, 0.15, 0) + if(ground_suppressed > 0, 0.10, 0) + if(likely_ground, 0.10, 0) + if(fragmented, 0.05, 0) AS risk FROM d),

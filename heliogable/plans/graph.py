@@ -147,6 +147,11 @@ def fusion_union(spark, sf_dir):
     return df.select("scene_id", "face_id", "contour_id", "source", fixed("confidence", 5).alias("confidence"), "review")
 
 
+@query("fusion_iou_match", f"WITH {FUSED} SELECT scene_id, face_id, contour_id, round(iou, 6) + 0.0 AS iou FROM best", "faces")
+def fusion_iou_match(spark, sf_dir):
+    return op.iou_match(bridge(spark, sf_dir, "faces"), _contours(spark, sf_dir)).select("scene_id", "face_id", "contour_id", fixed("iou", 6).alias("iou"))
+
+
 @query("edge_snap", f"""WITH v AS (SELECT scene_id, face_id * 4 + s.i AS pid, CASE WHEN s.i IN (0, 3) THEN x0 ELSE x1 END + 0.11 AS x, CASE WHEN s.i < 2 THEN z0 ELSE z1 END - 0.07 AS z FROM faces, (SELECT unnest([0, 1, 2, 3]) AS i) s), {CONTOURS},
   g AS (SELECT scene_id, contour_id AS id, x0, z0, x1, z1 FROM o), w AS (SELECT v.*, g.*, (g.x1 - g.x0) ** 2 + (g.z1 - g.z0) ** 2 AS l FROM v JOIN g ON v.scene_id = g.scene_id), t AS (SELECT *, least(1, greatest(0, ((x - x0) * (x1 - x0) + (z - z0) * (z1 - z0)) / l)) AS t FROM w),
   n AS (SELECT scene_id, pid, id, x0 + t * (x1 - x0) AS nx, z0 + t * (z1 - z0) AS nz, sqrt((x - (x0 + t * (x1 - x0))) ** 2 + (z - (z0 + t * (z1 - z0))) ** 2) AS gap FROM t)

@@ -86,6 +86,21 @@ BLOCKED = f"""{EVEN}, {CHIMNEYS}, tr AS (SELECT scene_id, x0 - 1.2 AS tx, z1 + 0
   dark AS (SELECT * FROM cap UNION SELECT * FROM leaf)"""
 
 
+ALL_RAYS = BLOCKED.replace("free AS (SELECT * FROM px WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.scene_id = px.scene_id AND px.x >= cx - 0.6 AND px.x < cx + 0.6 AND px.z > cz - 0.6 AND px.z < cz + 0.6))", "free AS (SELECT * FROM px)")
+
+
+@query("ray_triangle_hits", f"WITH {ALL_RAYS} SELECT section_id, sample, count(*) AS n FROM cap GROUP BY 1, 2", "faces")
+def ray_triangle_hits(spark, sf_dir):
+    rays = op.rays_of(spark, _sections(spark, sf_dir), LAT, LNG)
+    return op.blocked(rays, _chimneys(spark, sf_dir), None).groupBy("section_id", "sample").agg(F.count("*").alias("n"))
+
+
+@query("ray_ellipsoid_hits", f"WITH {ALL_RAYS} SELECT section_id, sample, count(*) AS n FROM leaf GROUP BY 1, 2", "faces")
+def ray_ellipsoid_hits(spark, sf_dir):
+    rays = op.rays_of(spark, _sections(spark, sf_dir), LAT, LNG)
+    return op.blocked(rays, None, _trees(spark, sf_dir)).groupBy("section_id", "sample").agg(F.count("*").alias("n"))
+
+
 @query("per_pixel_bake", f"""WITH {BLOCKED}, bm AS (SELECT section_id, row, col, sum(CASE WHEN d.sample IS NULL THEN beam ELSE 0 END) AS beams FROM ray LEFT JOIN dark d USING (section_id, row, col, sample) GROUP BY 1, 2, 3)
   SELECT section_id, row::INT AS row, col::INT AS col, round((sky * (1 + ny) / 2 + glo * 0.2 * (1 - ny) / 2 + coalesce(beams, 0)) / 1000, 3) + 0.0 AS kwh_m2 FROM free CROSS JOIN light LEFT JOIN bm USING (section_id, row, col)""", "faces")
 def per_pixel_bake(spark, sf_dir):

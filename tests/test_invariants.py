@@ -111,3 +111,54 @@ def test_ransac_whole_cloud(spark, monkeypatch):
     monkeypatch.setattr(planes, "bridge", lambda *a: df)
     (row,) = planes.ransac_plane(spark, "").collect()
     assert row.inliers == best >= 12 and row.ny > 0.95
+
+
+def greedy(items, ranked, doubles):
+    """Indices kept by a plain greedy pass: an item goes if one kept before doubles it."""
+    kept = []
+    for i in sorted(range(len(items)), key=lambda i: ranked(items[i])):
+        if not any(doubles(items[k], items[i]) for k in kept):
+            kept.append(i)
+    return kept
+
+
+def test_nms_by_hand(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(k % 5, k, r.uniform(0, 8), r.uniform(0, 8), r.uniform(1, 5), r.uniform(1, 5), r.random()) for k in range(150)]
+    df = spark.createDataFrame(rows, "roof_id long, region_id long, x0 double, z0 double, w double, h double, confidence double")
+
+    def doubles(a, b):
+        both = max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])) * max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
+        return both > 0.3 * min(a[4] * a[5], b[4] * b[5])
+
+    got = {(x.roof_id, x.region_id) for x in image.suppress(df, 0.3, "confidence").collect()}
+    want = set()
+    for roof in range(5):
+        own = [x for x in rows if x[0] == roof]
+        want |= {(roof, own[i][1]) for i in greedy(own, lambda x: (-x[6], x[1]), doubles)}
+    assert got == want
+
+
+def test_coplanar_by_hand(spark):
+    import random
+
+    from heliogable.operators import planes
+
+    r = random.Random(3)
+    rows = []
+    for k in range(60):
+        n = np.array([r.uniform(-0.4, 0.4), 1.0, r.uniform(-0.4, 0.4)])
+        rows.append((k % 4, k, r.randrange(10, 30), *map(float, n / np.sqrt(n @ n)), r.uniform(0, 6), r.uniform(0, 2), r.uniform(0, 6)))
+    df = spark.createDataFrame(rows, "scene_id long, plane long, n long, nx double, ny double, nz double, mx double, my double, mz double")
+    want = {}
+    for scene in range(4):
+        leaders = []
+        for x in sorted((x for x in rows if x[0] == scene), key=lambda x: (-x[2], x[1])):
+            own, mid = np.array(x[3:6]), np.array(x[6:9])
+            near = [y for y in leaders if np.degrees(np.arccos(min(1, np.array(y[3:6]) @ own))) < 10 and abs((mid - np.array(y[6:9])) @ np.array(y[3:6])) < 1]
+            want[x[1]] = near[0][1] if near else x[1]
+            if not near:
+                leaders.append(x)
+    assert {x.plane: x.leader for x in planes.merge_coplanar(df).collect()} == want
