@@ -8,7 +8,7 @@ do; ``compass`` turns it into degrees from north.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliogable.functions.columns import clip, first_true, in_polygon, num, shoelace
@@ -299,6 +299,45 @@ def smallest_rectangle(polygons: DataFrame) -> DataFrame:
     return df.groupBy("scene_id", "face_id").agg(F.min_by(F.struct("angle", "du", "dw"), F.struct(F.round(F.col("du") * F.col("dw"), 6), F.col("i"))).alias("m")).select("scene_id", "face_id", "m.angle", F.greatest("m.du", "m.dw").alias("length"), F.least("m.du", "m.dw").alias("breadth"), (F.col("m.du") * F.col("m.dw")).alias("area"))
 
 
+# Colours of plane types in a CRM face.
+COLOURS = {"main": "#4a90d9", "garage": "#7bc47f", "porch": "#d4a843", "walkway": "#999999", "dormer": "#c46b6b"}
+
+
+def colour(kind: Column) -> Column:
+    """Of a plane type; unknown and null ones are drawn as main."""
+    return first_true(*[(kind == k, v) for k, v in COLOURS.items()], default=COLOURS["main"])
+
+
+def rectangle_corners(rectangles: DataFrame) -> DataFrame:
+    """Rectangles of ``smallest_rectangle`` over their polygons (xs, zs) with the four corners: array of (x, z), rounded to millimetres."""
+    cos, sin = F.cos("angle"), F.sin("angle")
+    turned = lambda f: F.transform(F.arrays_zip(F.col("xs").alias("x"), F.col("zs").alias("z")), f)
+    u, w = turned(lambda v: v["x"] * cos + v["z"] * sin), turned(lambda v: v["z"] * cos - v["x"] * sin)
+    df = rectangles.withColumns({"u0": F.array_min(u), "u1": F.array_max(u), "w0": F.array_min(w), "w1": F.array_max(w)})
+    at = lambda a, b: F.struct(F.round(F.col(a) * cos - F.col(b) * sin, 3).alias("x"), F.round(F.col(a) * sin + F.col(b) * cos, 3).alias("z"))
+    return df.withColumn("corners", F.array(at("u0", "w0"), at("u1", "w0"), at("u1", "w1"), at("u0", "w1"))).drop("u0", "u1", "w0", "w1")
+
+
+def crm_faces(planes: DataFrame, dormers: DataFrame) -> DataFrame:
+    """Planes as the CRM's faces: a rectangle of four corners, the pitch of each section, a colour and the dormers on it in order of their ids.
+
+    Dormers are (scene_id, face_id, parent_id, ..); all their other columns go
+    into the nested rows.  A plane without any has an empty list.
+    """
+    rest = [c for c in dormers.columns if c not in ("scene_id", "face_id", "parent_id")]
+    own = dormers.select("scene_id", F.col("parent_id").alias("face_id"), F.struct(F.col("face_id").alias("id"), *rest).alias("d")).groupBy("scene_id", "face_id").agg(F.array_sort(F.collect_list("d"), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("dormers"))
+    found = rectangle_corners(smallest_rectangle(planes).join(planes.select("scene_id", "face_id", "xs", "zs"), ["scene_id", "face_id"])).select("scene_id", "face_id", "corners")
+    df = planes.join(found, ["scene_id", "face_id"]).join(own, ["scene_id", "face_id"], "left")
+    df = df.withColumn("dormers", F.coalesce("dormers", F.array().cast(own.schema["dormers"].dataType)))
+    return df.select("scene_id", "face_id", "corners", "pitch", F.array_repeat("pitch", 4).alias("section_pitches"), "azimuth", F.coalesce("elevation", num(0)).alias("height"), colour(F.col("plane_type")).alias("color"), F.array_repeat(F.lit(False), 4).alias("deleted_sections"), "dormers")
+
+
+def largest_planes(planes: DataFrame, most: int = 20) -> DataFrame:
+    """A scene's ``most`` planes of largest area, ranked; ties to the smaller face_id."""
+    rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("area"), "face_id"))
+    return planes.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
 def points_in(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """(scene_id, pid, face_id) of points inside polygons of their scene, boxes first."""
     box = polygons.select("scene_id", "face_id", "xs", "zs", F.array_min("xs").alias("bx0"), F.array_max("xs").alias("bx1"), F.array_min("zs").alias("bz0"), F.array_max("zs").alias("bz1"))

@@ -200,3 +200,21 @@ def oriented_rect(spark, sf_dir):
 def point_in_polygon(spark, sf_dir):
     faces = _faces(spark, sf_dir).select("scene_id", "face_id", F.transform("xs", lambda x: x - 12).alias("xs"), F.transform("zs", lambda z: z - 8).alias("zs"))
     return op.points_in(bridge(spark, sf_dir, "points"), faces)
+
+
+@query("crm_faces", f"""WITH {FULL}, {ADJACENT}, n AS (SELECT scene_id, p AS face_id, q AS other FROM adj UNION ALL SELECT scene_id, q, p FROM adj), s AS (SELECT *, CASE WHEN face_id % 3 = 0 THEN area / 4 ELSE area END AS lot FROM g),
+  d AS (SELECT s.scene_id, s.face_id AS id, n.other AS face_id FROM s JOIN n USING (scene_id, face_id) JOIN s o ON o.scene_id = s.scene_id AND o.face_id = n.other WHERE s.lot <= 10 AND s.elevation >= 1 AND s.width >= 0.3 AND s.depth >= 0.3 AND o.lot > 2 * s.lot QUALIFY row_number() OVER (PARTITION BY s.scene_id, s.face_id ORDER BY n.other) = 1),
+  l AS (SELECT scene_id, face_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS dormers FROM d GROUP BY 1, 2)
+  SELECT scene_id, face_id, round(x0, 3) + 0.0 AS x0, round(z0, 3) + 0.0 AS z0, round(x1, 3) + 0.0 AS x1, round(z1, 3) + 0.0 AS z1, 4 * pitch AS pitches, elevation AS height, CASE WHEN area < 5 AND elevation > 2 THEN '#c46b6b' WHEN area < 15 AND height < 3 THEN '#d4a843' WHEN area < 30 AND elevation < 1.5 THEN '#7bc47f' ELSE '#4a90d9' END AS color, coalesce(dormers, '') AS dormers FROM g LEFT JOIN l USING (scene_id, face_id)""", "faces")
+def crm_faces(spark, sf_dir):
+    faces = _faces(spark, sf_dir)
+    small = F.when(F.col("face_id") % 3 == 0, F.col("area") / 4).otherwise(F.col("area"))
+    df = op.crm_faces(faces, op.dormers(faces.withColumn("area", small), op.adjacency(faces)))
+    corner = lambda i, k: fixed(F.get("corners", F.lit(i))[k], 3)
+    sections = F.aggregate("section_pitches", num(0), lambda a, p: a + p)
+    return df.select("scene_id", "face_id", corner(0, "x").alias("x0"), corner(0, "z").alias("z0"), corner(2, "x").alias("x1"), corner(2, "z").alias("z1"), sections.alias("pitches"), "height", "color", F.concat_ws(",", F.transform("dormers", lambda d: d["id"].cast("string"))).alias("dormers"))
+
+
+@query("plane_cap", f"WITH {FULL} SELECT scene_id, face_id, row_number() OVER (PARTITION BY scene_id ORDER BY area DESC, face_id) AS rank FROM g QUALIFY rank <= 3", "faces")
+def plane_cap(spark, sf_dir):
+    return op.largest_planes(_faces(spark, sf_dir), 3).select("scene_id", "face_id", "rank")

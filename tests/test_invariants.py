@@ -162,3 +162,68 @@ def test_coplanar_by_hand(spark):
             if not near:
                 leaders.append(x)
     assert {x.plane: x.leader for x in planes.merge_coplanar(df).collect()} == want
+
+
+def test_main_ridges_by_hand(spark):
+    """A chain of three, one of them turned round, beside a stray edge; a scene with one upright edge."""
+    from heliogable.operators import lines
+
+    def edge(scene, k, a, b):
+        return (scene, k, *map(float, a), *map(float, b), float(np.linalg.norm(np.subtract(a, b))))
+
+    rows = [
+        edge(1, 1, (0, 6, 0), (4, 6, 0)), edge(1, 2, (7, 6, 0.1), (4.3, 6, 0.1)), edge(1, 3, (-2, 5, 0), (-0.2, 6, 0.2)), edge(1, 4, (4, 6, 0.5), (4, 6, 2)),
+        edge(2, 1, (1, 0, 1), (1, 3, 1)), edge(3, 2, (0, 1, 0), (0, 1, 2)), edge(3, 1, (9, 1, 0), (9, 1, 2)),
+    ]
+    df = spark.createDataFrame(rows, "scene_id long, edge_id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, length double")
+    got = {r.scene_id: r for r in lines.main_ridges(df).collect()}
+    one = got[1]
+    assert (one.edges, one.x0, one.z0, one.x1, one.z1, one.peak) == (3, -2, 0, 7, 0.1, 6)
+    assert one.length == pytest.approx(sum(r[-1] for r in rows[:3])) and one.azimuth == pytest.approx(89.3634, abs=1e-4)
+    assert one.pitch == pytest.approx(np.degrees(np.arctan2(1, np.hypot(9, 0.1))))
+    assert (got[2].pitch, got[2].length, got[2].edges, got[2].peak) == (0, 3, 1, 3)
+    assert got[3].x0 == 9 and got[3].edges == 1  # equal lengths: the smaller id
+    assert lines.main_ridges(df.filter("scene_id = 9")).count() == 0
+
+
+def test_collinear_by_hand(spark):
+    from heliogable.operators import lines
+
+    rows = [
+        (1, 1, 0.0, 0.0, 2.0, 0.0, 0.5), (1, 2, 2.3, 0.1, 5.0, 0.1, 0.9), (1, 3, 8.0, 0.0, 5.2, 0.0, 0.4), (1, 4, 2.0, 0.0, 2.0, 3.0, 0.7), (1, 5, 9.0, 0.0, 12.0, 0.0, 0.6),
+        (2, 1, 0.0, 0.0, 1.0, 0.0, 0.5), (2, 2, 5.0, 0.0, 6.0, 0.0, 0.5), (2, 3, 1.2, 0.0, 4.8, 0.0, 0.5),
+    ]
+    df = spark.createDataFrame(rows, "roof_id long, line_id long, x0 double, z0 double, x1 double, z1 double, confidence double")
+    got = {(r.roof_id, r.line_id): r for r in lines.merge_collinear(df).collect()}
+    # On roof 2 line 2 was passed over before line 3 closed the gap, so it stays.
+    assert {k: r.merged for k, r in got.items()} == {(1, 1): 3, (1, 4): 1, (1, 5): 1, (2, 1): 2, (2, 2): 1}
+    assert (got[1, 1].x0, got[1, 1].x1, got[1, 1].confidence) == (0, 8, 0.9) and got[2, 1].length == pytest.approx(4.8)
+
+
+def test_walks_by_hand(spark):
+    from heliogable.operators import lines
+
+    rows = [(1, [0.5, 0.5, 0.5, 2.0, 0.5, 0.0, 3.0, 0.01, 0.5]), (2, []), (3, None), (4, [0.5, None, 0.7])]
+    got = {r.walk_id: r for r in lines.slope_walk(spark.createDataFrame(rows, "walk_id long, steps array<double>")).collect()}
+    assert (round(got[1].slope, 9), got[1].taken, got[1].stopped) == (0.5, 7, True)
+    assert (got[2].slope, got[2].taken, got[3].taken) == (0, 0, 0)
+    assert got[4].taken == 2 and got[4].slope == pytest.approx(0.56)
+
+
+def test_drape_sources(spark):
+    """A full fit lends its plane to a bare segment after it, never to one before it."""
+    from heliogable.operators import drape
+
+    cloud = [(1, k, 0.5 * (k % 5), 3.0 + 0.25 * (k % 5), 0.5 * (k // 5)) for k in range(20)]
+    pts = spark.createDataFrame(cloud, "scene_id long, pid long, x double, y double, z double")
+
+    def square(x, z, s):
+        return [x, x + s, x + s, x], [z, z, z + s, z + s]
+
+    segs = [(1, 1, 1, *square(20.0, 20.0, 1.0), 0.8), (1, 2, 2, *square(-0.1, -0.1, 3.0), 0.8), (1, 3, 3, *square(4.0, 0.0, 2.0), 0.8), (1, 4, 4, *square(-0.1, -0.1, 0.8), 0.8), (1, 5, 5, [0.0, 1.0], [0.0, 1.0], 0.8)]
+    df = drape.drape(pts, spark.createDataFrame(segs, "scene_id long, face_id long, place long, xs array<double>, zs array<double>, confidence double"))
+    got = {r.face_id: r for r in df.collect()}
+    assert {k: r.source for k, r in got.items()} == {2: "points", 3: "neighbour", 4: "sparse"}
+    assert got[2].pitch == pytest.approx(26.565, abs=1e-3) and got[3].ys == pytest.approx([5, 6, 6, 5])
+    assert got[2].confidence == pytest.approx(0.6 * 0.8 + 0.4 * 0.1) and got[3].confidence == pytest.approx(0.3 * (0.48 + 0.4 * 4 / 200))
+    assert got[3].needs_review and not got[2].needs_review
