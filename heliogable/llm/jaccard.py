@@ -103,6 +103,7 @@ _LEAST = [(k * ROWS * 6, least_equal(k * ROWS * 6)) for k in range(1, BANDS * RO
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words.trim()
     for batch in batches:
         texts = words.as_bytes(batch.column("text"))
         ids, marks = batch.column("doc_id"), batch.column("mark")
@@ -178,6 +179,7 @@ def _links(offsets: np.ndarray, found: np.ndarray, sig: np.ndarray, keyed: np.nd
 
 def _work(group: pa.Table) -> pa.Table:
     """One bin of units: a row for each class of a unit."""
+    words.trim()
     group = group.sort_by([("unit", "ascending"), ("node", "ascending")])
     units = np.array(group["unit"].combine_chunks().dictionary_encode().indices)
     limits = np.concatenate((np.flatnonzero(np.diff(units, prepend=-1)), [len(units)]))

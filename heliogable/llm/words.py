@@ -8,13 +8,15 @@ sums of a whole block, then mixed; two seeds give independent hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 
 PATTERN = r"[^\x20\x09-\x0D]+"
-BLOCK = 1 << 20
+#: Bytes hashed at a time; each hasher keeps two tables of eight times that in every worker.
+BLOCK = 1 << 19
 _U = np.uint64
 
 
@@ -44,7 +46,7 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
-            n = max(n, 2 * BLOCK)
+            n = max(n + n // 8, BLOCK + 1)
             for name, step in (("power", self.base), ("inverse", pow(self.base, -1, 2**64))):
                 steps = np.full(n, step, _U)
                 steps[0] = 1
@@ -105,6 +107,14 @@ def starts_of(offsets: np.ndarray, length: int) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[:-1] - (ends - room), room)
 
 
+def trim() -> None:
+    """Give back to the system what a worker that is used again still holds free from the tasks before."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
