@@ -36,11 +36,11 @@ def tilt_gate(faces: DataFrame) -> DataFrame:
 
 
 def match_segments(faces: DataFrame, segments: DataFrame, within: float = 8.0) -> DataFrame:
-    """Faces with their scene's nearest segment under 8 m (ties: smaller id): distance, confidence, corrected pitch."""
+    """Faces with their scene's nearest segment under 8 m (ties to a nanometre: smaller id): distance, confidence, corrected pitch."""
     c = F.col
     gap = F.sqrt((c("f.cx") - c("s.x")) ** 2 + (c("f.cz") - c("s.z")) ** 2)
-    pairs = faces.alias("f").join(segments.alias("s"), c("f.scene_id") == c("s.scene_id")).select("f.scene_id", "f.face_id", F.struct(F.round(gap, 9).alias("gap"), c("s.segment_id").alias("segment_id"), c("s.pitch").alias("seg_pitch"), c("s.area").alias("seg_area")).alias("m"))
-    best = pairs.filter(c("m.gap") < within).groupBy("scene_id", "face_id").agg(F.min("m").alias("m")).select("scene_id", "face_id", "m.*")
+    pairs = faces.alias("f").join(segments.alias("s"), c("f.scene_id") == c("s.scene_id")).select("f.scene_id", "f.face_id", F.struct(F.round(gap, 9).alias("gap"), c("s.segment_id").alias("segment_id"), c("s.pitch").alias("seg_pitch"), c("s.area").alias("seg_area")).alias("m"), gap.alias("exact"))
+    best = pairs.filter(c("exact") < within).groupBy("scene_id", "face_id").agg(F.min("m").alias("m")).select("scene_id", "face_id", "m.*")
     df = faces.join(best, ["scene_id", "face_id"], "left").withColumn("match_confidence", F.when(c("gap").isNull(), num(0)).otherwise(F.greatest(num(0), 1 - c("gap") / within)))
     fix = c("gap").isNotNull() & (c("match_confidence") > 0.5) & (c("pitch") - c("seg_pitch") > 10) & (c("seg_pitch") < 45) & (c("seg_area") > 8)
     return df.withColumns({"corrected": F.coalesce(fix, F.lit(False)), "new_pitch": F.when(fix, c("seg_pitch") + 2).otherwise(c("pitch"))})
