@@ -52,13 +52,14 @@ def held_segments(points: DataFrame, masks: DataFrame, scale: float, width: int,
     return masks.join(inside, ["scene_id", "row", "col"]).groupBy("scene_id", "segment").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def drape(points: DataFrame, segments: DataFrame, least: int = 10) -> DataFrame:
+def drape(points: DataFrame, segments: DataFrame, least: int = 10, least_up: float = 0.01) -> DataFrame:
     """Planes over segments (scene_id, face_id, place, xs, zs, confidence) from the points inside; ``place`` is a segment's order.
 
     With ``least`` points a plane is fitted; with three or more too, at half the
     confidence; with fewer the scene's first fully fitted plane before it is
     taken on, at 0.3 of the confidence and with heights over its own corners.
     Segments without either, or of under three corners, have none.  ``source`` says which.
+    A plane's area is its flat one over its normal's part upwards, ``least_up`` at least.
     """
     c = F.col
     outlines = segments.filter(F.size("xs") >= 3)
@@ -77,7 +78,7 @@ def drape(points: DataFrame, segments: DataFrame, least: int = 10) -> DataFrame:
     corner = lambda v: F.when(steep, c("my")).otherwise((d - c("nx") * v["x"] - c("nz") * v["z"]) / F.when(steep, num(1)).otherwise(c("ny")))
     df = df.withColumn("ys", F.transform(F.arrays_zip(c("xs").alias("x"), c("zs").alias("z")), corner))
     df = df.withColumns({"low": F.when(own, c("low")).otherwise(F.array_min("ys")), "high": F.when(own, c("high")).otherwise(F.array_max("ys")), "held": F.when(own, c("n")).otherwise(F.size("xs"))})
-    df = df.withColumns({"pitch": F.degrees(F.acos(F.least(num(1), F.abs("ny")))), "azimuth": F.pmod(F.degrees(F.atan2("nx", "nz")), num(360)), "area": F.greatest(num(0.01), shoelace(c("xs"), c("zs")) / F.greatest(F.abs("ny"), num(0.01)))})
+    df = df.withColumns({"pitch": F.degrees(F.acos(F.least(num(1), F.abs("ny")))), "azimuth": F.pmod(F.degrees(F.atan2("nx", "nz")), num(360)), "area": F.greatest(num(0.01), shoelace(c("xs"), c("zs")) / F.greatest(F.abs("ny"), num(least_up)))})
     kind = first_true(((c("area") < 5) & (c("low") > 2), "dormer"), ((c("area") < 15) & (c("high") < 3), "porch"), ((c("area") < 30) & (c("low") < 1.5), "garage"), default="main")
     sure = 0.6 * c("confidence") + 0.4 * F.least(num(1), c("held") / 200)
     share = first_true((c("source") == "points", 1.0), (c("source") == "sparse", 0.5), default=0.3)

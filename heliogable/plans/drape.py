@@ -58,7 +58,8 @@ def drape_points(spark, sf_dir):
     part = lambda a, b, m: F.when(F.col("face_id") % 3 == 0, F.col(b) - m).otherwise(F.col(a) - m + 0.7 * (F.col("face_id") % 3))
     s = bridge(spark, sf_dir, "faces").select("scene_id", "face_id", F.col("face_id").alias("place"), (F.col("x0") - 12).alias("sx"), part("x0", "x1", 12).alias("tx"), (F.col("z0") - 8).alias("sz"), part("z0", "z1", 8).alias("tz"), "confidence")
     s = s.select("scene_id", "face_id", "place", F.array("sx", "tx", "tx", "sx").alias("xs"), F.array("sz", "sz", "tz", "tz").alias("zs"), "confidence")
-    df = op.drape(bridge(spark, sf_dir, "points"), s)
+    # The SQL bounds no area; upright planes only mustn't divide by zero.
+    df = op.drape(bridge(spark, sf_dir, "points"), s, least_up=1e-300)
     return df.select("scene_id", "face_id", "source", *[fixed(c, 3).alias(c) for c in ("pitch", "low", "high", "area")], "plane_type", fixed("confidence", 5).alias("confidence"), "needs_review")
 
 
