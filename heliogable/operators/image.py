@@ -83,13 +83,17 @@ def roof_veto(df: DataFrame) -> Column:
 
 def overlaps(masks: DataFrame) -> DataFrame:
     """Of mask pixels (roof_id, region_id, row, col): for each pair that shares any, the shared count, IoU, shares of each, and whether it is flagged."""
-    a, b = masks.alias("a"), masks.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("roof_id", "row", "col")]
-    both = a.join(b, on).filter("a.region_id < b.region_id").groupBy(F.col("a.roof_id").alias("roof_id"), F.col("a.region_id").alias("p"), F.col("b.region_id").alias("q")).agg(F.count("*").alias("shared"))
-    size = masks.groupBy("roof_id", "region_id").agg(F.count("*").alias("n"))
-    for k in "pq":
-        both = both.join(size.select("roof_id", F.col("region_id").alias(k), F.col("n").alias(f"n_{k}")), ["roof_id", k])
     c = F.col
+    # Pixels are shuffled once, by image row; Spark takes exploded masks for as small as what they come from, so neither side of a join is to be broadcast by guess.
+    n = int(masks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = masks.select("roof_id", "row", "col", "region_id").repartition(n, "roof_id", "row")
+    held = rows.groupBy("roof_id", "row", "col").agg(F.array_sort(F.collect_list("region_id")).alias("held")).filter(F.size("held") > 1)
+    each = held.select("roof_id", "held", F.posexplode("held").alias("at", "p"))
+    pairs = each.select("roof_id", "p", F.explode(F.slice("held", c("at") + 2, F.size("held"))).alias("q")).filter("p < q")
+    both = pairs.groupBy("roof_id", "p", "q").agg(F.count("*").alias("shared"))
+    size = rows.groupBy("roof_id", "region_id").agg(F.count("*").alias("n"))
+    for k in "pq":
+        both = both.join(size.select("roof_id", c("region_id").alias(k), c("n").alias(f"n_{k}")).hint("merge"), ["roof_id", k])
     df = both.withColumns({"iou": c("shared") / (c("n_p") + c("n_q") - c("shared")), "of_p": c("shared") / c("n_p"), "of_q": c("shared") / c("n_q")})
     return df.withColumn("flagged", F.greatest("of_p", "of_q") > 0.20)
 
