@@ -91,14 +91,12 @@ ALL_RAYS = BLOCKED.replace("free AS (SELECT * FROM px WHERE NOT EXISTS (SELECT 1
 
 @query("ray_triangle_hits", f"WITH {ALL_RAYS} SELECT section_id, sample, count(*) AS n FROM cap GROUP BY 1, 2", "faces")
 def ray_triangle_hits(spark, sf_dir):
-    rays = op.rays_of(spark, _sections(spark, sf_dir), LAT, LNG)
-    return op.blocked(rays, _chimneys(spark, sf_dir), None).groupBy("section_id", "sample").agg(F.count("*").alias("n"))
+    return op.stopped_rays(spark, _sections(spark, sf_dir), _chimneys(spark, sf_dir), None, LAT, LNG).select("section_id", "sample", "n")
 
 
 @query("ray_ellipsoid_hits", f"WITH {ALL_RAYS} SELECT section_id, sample, count(*) AS n FROM leaf GROUP BY 1, 2", "faces")
 def ray_ellipsoid_hits(spark, sf_dir):
-    rays = op.rays_of(spark, _sections(spark, sf_dir), LAT, LNG)
-    return op.blocked(rays, None, _trees(spark, sf_dir)).groupBy("section_id", "sample").agg(F.count("*").alias("n"))
+    return op.stopped_rays(spark, _sections(spark, sf_dir), None, _trees(spark, sf_dir), LAT, LNG).select("section_id", "sample", "n")
 
 
 @query("per_pixel_bake", f"""WITH {BLOCKED}, bm AS (SELECT section_id, row, col, sum(CASE WHEN d.sample IS NULL THEN beam ELSE 0 END) AS beams FROM ray LEFT JOIN dark d USING (section_id, row, col, sample) GROUP BY 1, 2, 3)
