@@ -45,29 +45,33 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 _ENTRIES = "bucket int, kind int, chunk string, body binary"
 _U = np.uint64
+_COVERED = np.isin(np.arange(PERIOD), COVER)
 
 
 class _Chunk:
-    """A chunk's words as hashes, its anchors and, given marks for them, its candidate windows."""
+    """A chunk's words as hashes, its anchors and, given marks for them, its candidate windows; only ``whole`` keeps its texts."""
 
     first, second = words.Hasher(11), words.Hasher(12)
     in_anchor, in_window, in_check = words.odd(13, ANCHOR), words.odd(14, WINDOW), words.odd(15, WINDOW)
 
-    def __init__(self, path: str, checked: bool = False):
+    def __init__(self, path: str, checked: bool = False, whole: bool = False):
+        words.trim()
         with store.opened(path) as f:
-            self.table = pa.ipc.open_file(f).read_all()
-        ids = self.table["id"].combine_chunks()
+            table = pa.ipc.open_file(f).read_all()
+        ids = table["id"].combine_chunks()
         self.ids = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        self.texts = words.as_bytes(self.table["text"])
-        self.offsets, found = words.hashes(self.texts, *([self.first, self.second] if checked else [self.first]))
+        texts = words.as_bytes(table["text"])
+        if whole:
+            self.table, self.texts = table.drop_columns(["text"]), texts
+        del table
+        self.offsets, found = words.hashes(texts, *([self.first, self.second] if checked else [self.first]))
         self.hashes, self.checks = found[0], found[-1]
-        self.document = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
+        self.document = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.offsets))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of anchors, and the distinct anchors with each place's index among them."""
         at = words.starts_of(self.offsets, ANCHOR)
-        phase = (at - self.offsets[self.document[at]]) % PERIOD
-        at = at[np.isin(phase, COVER)]
+        at = at[_COVERED[(at - self.offsets[self.document[at]]) % PERIOD]]
         found, which = np.unique(words.grams(self.hashes, at, self.in_anchor), return_inverse=True)
         return at, found, which
 
@@ -78,7 +82,7 @@ class _Chunk:
         np.minimum.at(low, which, ids)
         np.maximum.at(high, which, ids)
         shared = elsewhere | (low < high)
-        sums = np.zeros(len(self.hashes) + 1, np.int64)
+        sums = np.zeros(len(self.hashes) + 1, np.int32)
         sums[at + 1] = shared[which]
         np.cumsum(sums, out=sums)
         starts = words.starts_of(self.offsets, WINDOW)
@@ -90,13 +94,15 @@ class _Chunk:
         one = words.grams(self.hashes, at, self.in_window)
         two = (words.grams(self.checks, at, self.in_check) >> _U(32)).astype(np.uint32)
         order = np.lexsort((two, one))
+        one, two = one[order], two[order]
         new = np.ones(len(at), bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        which = np.empty(len(at), np.int64)
-        which[order] = np.cumsum(new) - 1
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        which = np.empty(len(at), np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
         lowest = np.full(int(new.sum()), np.iinfo(np.int64).max)
         np.minimum.at(lowest, which, self.ids[self.document[at]])
-        return at, one[order][new], two[order][new], lowest, which
+        return at, one[new], two[new], lowest, which
 
 
 def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -150,6 +156,7 @@ def _send_anchors(buckets: int):
 
 def _match_anchors(group: pa.Table) -> pa.Table:
     """One bucket: which entries other chunks have too."""
+    words.trim()
     bodies = [np.frombuffer(x, _U) for x in group["body"].to_pylist()]
     together = np.concatenate(bodies)
     order = np.argsort(together)
@@ -176,6 +183,7 @@ def _send_windows(buckets: int):
         chunk = _Chunk(path, checked=True)
         at, found, which = chunk.anchors()
         mask = chunk.marked(_bits(group, _cuts(found, buckets)), at, len(found), which)
+        del at, found, which
         _, one, two, lowest, _ = chunk.windows(mask)
         cut = _cuts(one, buckets)
         rows = [(int(uuid.UUID(path.rsplit("/", 1)[1][:32]).int % buckets), 1, path, np.packbits(mask).tobytes())]
@@ -193,6 +201,7 @@ def _send_windows(buckets: int):
 
 def _match_windows(group: pa.Table) -> pa.Table:
     """One bucket: which entries have a smaller id in another chunk; masks pass through."""
+    words.trim()
     kinds, bodies = group["kind"].to_pylist(), group["body"].to_pylist()
     one, two, ids, counts = [], [], [], []
     for kind, body in zip(kinds, bodies, strict=True):
@@ -225,19 +234,23 @@ def _match_windows(group: pa.Table) -> pa.Table:
 
 def _finish(buckets: int, carry: list[str], with_text: bool):
     def run(group: pa.Table) -> pa.Table:
-        chunk = _Chunk(group["chunk"][0].as_py(), checked=True)
+        chunk = _Chunk(group["chunk"][0].as_py(), checked=True, whole=True)
         starts = words.starts_of(chunk.offsets, WINDOW)
         mask = np.zeros(len(starts), bool)
         for kind, body in zip(group["kind"].to_pylist(), group["body"].to_pylist(), strict=True):
             if kind == 1:
                 mask = np.unpackbits(np.frombuffer(body, np.uint8), count=len(starts)).astype(bool)
+        del starts
         at, one, _, lowest, which = chunk.windows(mask)
         later = _bits(group, _cuts(one, buckets))
         hit = at[later[which] | (chunk.ids[chunk.document[at]] > lowest[which])]
+        del at, one, lowest, which, later
         change = np.zeros(len(chunk.hashes) + 1, np.int64)
+        chunk.hashes = chunk.checks = chunk.document = None
         np.add.at(change, hit, 1)
         np.add.at(change, hit + WINDOW, -1)
         gone = np.cumsum(change[:-1]) > 0
+        del change, hit
         sums = np.concatenate(([0], np.cumsum(gone)))
         removed = sums[chunk.offsets[1:]] - sums[chunk.offsets[:-1]]
         digests, texts = [], []

@@ -17,6 +17,8 @@ import pyarrow as pa
 PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes hashed at a time; each hasher keeps two tables of eight times that in every worker.
 BLOCK = 1 << 19
+#: Places whose grams are hashed at a time, which bounds what lies between.
+PLACES = 1 << 15
 _U = np.uint64
 
 
@@ -94,9 +96,12 @@ def hashes(texts: Sequence[bytes], *hashers: Hasher) -> tuple[np.ndarray, list[n
 def grams(words: np.ndarray, at: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Mixed hashes of the len(factors) consecutive words that begin at each place of ``at``."""
     out = np.zeros(len(at), _U)
-    for j, factor in enumerate(factors):
-        out += words[at + j] * factor
-    return mix(out)
+    for a in range(0, len(at), PLACES):
+        part, own = at[a : a + PLACES], out[a : a + PLACES]
+        for j, factor in enumerate(factors):
+            own += words[part + j] * factor
+        own[:] = mix(own)
+    return out
 
 
 def starts_of(offsets: np.ndarray, length: int) -> np.ndarray:
@@ -108,9 +113,11 @@ def starts_of(offsets: np.ndarray, length: int) -> np.ndarray:
 
 
 def trim() -> None:
-    """Give back to the system what a worker that is used again still holds free from the tasks before."""
+    """Give back to the system what a worker that is used again still holds free from the tasks before, and from now on arrays of 8 MB or more once they are free."""
     pa.default_memory_pool().release_unused()
-    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    free, option = (getattr(ctypes.CDLL(None), name, None) for name in ("malloc_trim", "mallopt"))
+    if option is not None:
+        option(-3, 1 << 23)  # M_MMAP_THRESHOLD, which else grows to 32 MB
     if free is not None:
         free(0)
 
