@@ -32,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliogable.llm import words
+
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 #: Distinct words whose ids a worker remembers.
 REMEMBER = 800_000
 #: Ids in an output batch.
 BATCH_IDS = 1 << 20
+#: Texts that are taken apart at a time.
+TEXTS = 256
 UNIGRAM, BPE = 1, 2
 
 
@@ -249,12 +253,12 @@ class Model:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for a in range(0, len(texts), 1024):
+        for a in range(0, len(texts), TEXTS):
             # A line's words after its first stand behind one mark each, unless there are more spaces.
             marked: set[str] = set()
             others = {"\n"}
             cut: list[list[tuple[list[str], list[str]]]] = []
-            for text in texts[a : a + 1024]:
+            for text in texts[a : a + TEXTS]:
                 own, odd_mark = [], MARK in text
                 for k, chunks in enumerate(line.split(" ") for line in text.split("\n")) if text else ():
                     if "" in chunks or odd_mark:
@@ -292,9 +296,9 @@ def model(path: str) -> Model:
 
 def _run(path: str, carry: list[str], checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.trim()
         m = model(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             begin = held = 0
             out: list[np.ndarray] = []
             rows: list[tuple] = []
@@ -309,16 +313,21 @@ def _run(path: str, carry: list[str], checked: bool):
                     names += ["ids_crc32", "round_trip"]
                 return pa.RecordBatch.from_arrays(columns + [batch.column("c_" + c).slice(begin, end - begin) for c in carry], names=names + carry)
 
-            for i, ids in enumerate(m.encode(texts)):
+            def encoded(column=batch.column("text")):
+                for a in range(0, len(column), TEXTS):
+                    texts = [t or "" for t in column.slice(a, TEXTS).to_pylist()]
+                    yield from zip(texts, m.encode(texts), strict=True)
+
+            for i, (text, ids) in enumerate(encoded()):
                 if out and held + len(ids) > BATCH_IDS:
                     yield flush(begin, i, out, rows)
                     begin, held, out, rows = i, 0, [], []
                 out.append(ids)
                 held += len(ids)
                 if checked:
-                    rows.append((zlib.crc32(ids.astype("<u4").tobytes()), m.decode(ids) == texts[i].replace(MARK, " ")))
+                    rows.append((zlib.crc32(ids.astype("<u4").tobytes()), m.decode(ids) == text.replace(MARK, " ")))
             if out:
-                yield flush(begin, len(texts), out, rows)
+                yield flush(begin, len(batch), out, rows)
 
     return run
 
